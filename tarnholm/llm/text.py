@@ -78,12 +78,16 @@ class Words:
         last[inner - 1] = is_word[inner - 1]
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
-        p, inv = powers(n)
-        total = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * p[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inv[self.start])
+        p, self._inv = powers(n)
+        self._total = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * p[:n], out=self._total[1:])
+        self.hash = self.hashes(self.start, self.end)
         self.off = np.searchsorted(self.start, self.bytes_off)
 
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes between."""
+        return mix((self._total[end] - self._total[start]) * self._inv[start])
+
     def __len__(self) -> int:
         return len(self.off) - 1
 
