@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,24 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def scatter(shard: np.ndarray, shards: int, **arrays: np.ndarray) -> pa.RecordBatch:
+    """A row for each shard that occurs, with its part of each array as bytes."""
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    some = np.flatnonzero(np.diff(ends))
+    cut = [pa.array([v[order[ends[s] : ends[s + 1]]].tobytes() for s in some], pa.binary()) for v in arrays.values()]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *cut], names=["shard", *arrays])
+
+
+def gather(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The arrays of each shard put together again; rows of a shard are neighbours."""
+    rows = ((r[0], r[1:]) for b in batches for r in zip(b.column(0).to_pylist(), *(b.column(i + 1) for i in range(len(kinds)))))
+    for shard, group in groupby(rows, key=lambda r: r[0]):
+        held = [r[1] for r in group]
+        yield shard, [np.frombuffer(b"".join(r[i].as_buffer() for r in held), k) for i, k in enumerate(kinds)]
+
+
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    return df.repartition(shards, "shard").sortWithinPartitions("shard")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, html, langid, packing, simhash, topk, toxicity, warc
+from . import chat, decontam, html, langid, packing, simhash, substring, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,9 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_language, op7_toxicity, op8_topk, op9_html)}
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_language, op7_toxicity, op8_topk, op9_html, op10_substring)}
 SQL: dict[str, str] = {"op4_warc": warc.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
