@@ -1,0 +1 @@
+"""Column helpers that Spark's own functions don't have."""

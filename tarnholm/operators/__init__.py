@@ -1,0 +1 @@
+"""Operators that are compositions of Spark's own."""
