@@ -74,24 +74,30 @@ class Index:
         self.sieve[(self.known & U(SIEVE - 1)).astype(np.int64)] = True
         self.sizes = np.unique(self.size)
         self.least = {m: threshold * self.total[self.size == m].min() for m in self.sizes.tolist()}
+        self.tables = {m: self._tables(np.flatnonzero(self.size == m)) for m in self.sizes.tolist()}
+
+    def _tables(self, items: np.ndarray) -> list[tuple]:
+        """For each block, the items of one size that are near each value: shift, mask, where each value's start, items."""
         edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-        self.blocks = []
+        out = []
         for lo, hi in zip(edges, edges[1:]):
-            part = (self.prints >> U(lo)) & U((1 << (hi - lo)) - 1)
-            near = np.bitwise_count(np.arange(1 << (hi - lo), dtype=U)[:, None] ^ part[None, :]) <= radius // BLOCKS
-            self.blocks.append((U(lo), U((1 << (hi - lo)) - 1), np.concatenate([[0], np.cumsum(near.sum(axis=1))]), np.nonzero(near)[1]))
-
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (fingerprint, item) within the radius, all of them."""
+            mask = U((1 << (hi - lo)) - 1)
+            part = (self.prints[items] >> U(lo)) & mask
+            near = np.bitwise_count(np.arange(1 << (hi - lo), dtype=U)[:, None] ^ part[None, :]) <= self.radius // BLOCKS
+            out.append((U(lo), mask, np.concatenate([[0], np.cumsum(near.sum(axis=1))]), items[np.nonzero(near)[1]]))
+        return out
+
+    def within(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (fingerprint, item of that size) within the radius, all of them."""
         found = []
-        for shift, mask, off, item in self.blocks:
+        for shift, mask, off, item in self.tables[size]:
             v = ((prints >> shift) & mask).astype(np.int64)
             n = off[v + 1] - off[v]
-            found.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + item[spans(off[v], n)])
+            p, i = np.repeat(np.arange(len(prints)), n), item[spans(off[v], n)]
+            near = np.bitwise_count(prints[p] ^ self.prints[i]) <= self.radius
+            found.append(p[near] * len(self.ids) + i[near])
         pairs = np.unique(np.concatenate(found))
-        p, i = pairs // len(self.ids), pairs % len(self.ids)
-        near = np.bitwise_count(prints[p] ^ self.prints[i]) <= self.radius
-        return p[near], i[near]
+        return pairs // len(self.ids), pairs % len(self.ids)
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of the best window for each text and item above the threshold."""
@@ -122,9 +128,7 @@ class Index:
                 continue
             number = n - SHINGLE + 1
             prints = simhash(h[spans(s, number)], np.concatenate([[0], np.cumsum(number)]))
-            for p, i in zip(*(x.tolist() for x in self.within(prints))):
-                if self.size[i] != m:
-                    continue
+            for p, i in zip(*(x.tolist() for x in self.within(prints, m))):
                 window = slice(s[p], s[p] + number[p])
                 score = similarity(bag(h[window], weight[window]), self.bags[i])
                 key = int(d[p]), i
