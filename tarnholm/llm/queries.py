@@ -42,6 +42,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -53,5 +57,5 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_language, op7_toxicity, op8_topk, op9_html, op10_substring)}
-SQL: dict[str, str] = {"op4_warc": warc.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_packing, op4_warc, op5_chat, op6_language, op7_toxicity, op8_topk, op9_html, op10_substring, topk_text)}
+SQL: dict[str, str] = {"op4_warc": warc.SQL, "op5_chat": chat.SQL, "op8_topk": topk.SQL_VECTORS, "topk_text": topk.SQL}

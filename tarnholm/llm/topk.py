@@ -1,10 +1,15 @@
-"""Exact top-k text search by exhaustive term-at-a-time accumulation.
+"""Exact top-k search by exhaustive term-at-a-time accumulation.
 
-Every row of the query table is a query. One pass over the documents keeps the postings of the
-queries' terms and the corpus statistics; a second one scores: for each query, term after term,
-the weighted postings of a block of documents are scattered into a dense array of scores, the
-best k are selected by partition, and blocks, tasks and finally the cluster merge their lists.
-Scores are BM25 in integers (thousandths), so they are equal in every engine and order.
+``neighbours`` takes sparse rows, such as the vectors of a table, and treats every row as a
+query over all rows. Rows are packed into blocks; for each pair of a query block and a block of
+postings, term after term, the weighted postings are scattered into dense arrays of scores, the
+best k are selected by partition, and the lists of all pairs are merged. No block is broadcast:
+pairs of blocks are read from the shared checkpoint folder, so a task holds two blocks however
+many there are. The work is that of all pairs of rows, as an exhaustive search has it.
+
+``top_k`` is the same over text: every row of the query table is a query. One pass over the
+documents keeps the postings of the queries' terms and the corpus statistics; a second one scores
+a block of documents at a time. Scores are BM25 in integers (thousandths), equal in every order.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, prepare
-from .text import U, Words, slices
+from .common import by_shard, columns, gather, partitions, prepare, scatter
+from .text import U, Words, mix, slices
 
 K, K1, B = 10, 1.2, 0.75
 #: Text of queries handled in one pass over the documents; more queries take more passes.
@@ -27,6 +32,148 @@ SIEVE = 1 << 20
 RESULT = "item_id long, doc_id long, score long"
 
 
+ROWS, AT_ONCE = 4096, 64
+BLOCK = "block int, ids binary, off binary, terms binary, weights binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit rows without their zeros, ROWS to a block: ids, row starts, terms, weights."""
+    held: list[tuple[int, np.ndarray]] = []
+
+    def block(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        some = [np.flatnonzero(v) for _, v in rows]
+        off = np.concatenate([[0], np.cumsum([len(x) for x in some])]).astype(np.int64)
+        cols = [np.array([i for i, _ in rows], np.int64), off, np.concatenate(some).astype(np.int32), np.concatenate([v[x] for (_, v), x in zip(rows, some)])]
+        return pa.RecordBatch.from_arrays([pa.array([rows[0][0] % 2**31], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["block", "ids", "off", "terms", "weights"])
+
+    for batch in batches:
+        for i, v in zip(batch.column("id").to_pylist(), batch.column("vector").to_pylist()):
+            v = np.array([0.0 if x is None else x for x in v], np.float64)
+            norm = np.sqrt((v * v).sum()) if np.isfinite(v).all() else 0.0
+            if norm > 0:
+                held.append((i, v / norm))
+        while len(held) >= ROWS:
+            yield block(held[:ROWS])
+            held = held[ROWS:]
+    if held:
+        yield block(held)
+
+
+def best_rows(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k highest scores that aren't -inf; ties by id."""
+    n = score.shape[1]
+    cut = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -np.inf)
+    row, col = np.nonzero((score >= cut[:, None]) & (score > -np.inf))
+    order = np.lexsort((ids[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    start = np.searchsorted(row, np.arange(len(score)))
+    few = np.arange(len(row)) - start[row] < k
+    return row[few], col[few]
+
+
+def scatter_scores(q: tuple, d: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, ids and scores of the best k of block d for each row of block q; not a row itself."""
+    (q_ids, q_off, q_terms, q_weights), (ids, off, terms, weights) = q, d
+    owner = np.repeat(np.arange(len(ids)), np.diff(off))
+    order = np.lexsort((owner, terms))
+    terms, owner, weights = terms[order], owner[order], weights[order]  # postings, by term
+    names, start = np.unique(terms, return_index=True)
+    end = np.append(start[1:], len(terms))
+    q_owner = np.repeat(np.arange(len(q_ids)), np.diff(q_off))
+    out: list[tuple[np.ndarray, ...]] = []
+    for a in range(0, len(q_ids), AT_ONCE):
+        b = min(a + AT_ONCE, len(q_ids))
+        part = slice(q_off[a], q_off[b])
+        by_term = np.argsort(q_terms[part], kind="stable")
+        t, w, r = q_terms[part][by_term], q_weights[part][by_term], q_owner[part][by_term] - a
+        score = np.zeros((b - a, len(ids)))
+        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
+        for x, y in zip(first, [*first[1:], len(t)]):
+            p = np.searchsorted(names, t[x])
+            if p < len(names) and names[p] == t[x]:
+                postings, rows = slice(start[p], end[p]), r[x:y]
+                product = np.multiply.outer(w[x:y], weights[postings])
+                if len(rows) == b - a and end[p] - start[p] == len(ids):
+                    score += product  # all have the term
+                else:
+                    score[np.ix_(rows, owner[postings])] += product
+        score[q_ids[a:b, None] == ids[None, :]] = -np.inf
+        row, col = best_rows(score, ids, k)
+        out.append((q_ids[a:b][row], ids[col], score[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
+
+
+def merge_lists(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    query, doc, score = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((doc, -score, query))
+    query, doc, score = query[order], doc[order], score[order]
+    new = np.concatenate([[True], query[1:] != query[:-1]]) if len(query) else np.zeros(0, bool)
+    start = np.flatnonzero(new)
+    rank = np.arange(len(query)) - np.repeat(start, np.diff([*start, len(query)])) + 1
+    few = rank <= k
+    return query[few], doc[few], score[few], rank[few]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], k: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Lists of each query block, merged over the blocks it meets in a task."""
+    kinds = (np.int64, np.int64, np.int32, np.float64)
+    now, found = None, []
+
+    def flush() -> pa.RecordBatch:
+        query, doc, score, _ = merge_lists(found, k)
+        return scatter((mix(query.view(U)) % U(shards)).astype(np.int64), shards, query=query, doc=doc, score=score)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            q, d = (tuple(np.frombuffer(batch.column(side + c)[i].as_buffer(), kind) for c, kind in zip(("ids", "off", "terms", "weights"), kinds)) for side in ("q_", "d_"))
+            key = q[0].tobytes()
+            if found and key != now:
+                yield flush()
+                found = []
+            now = key
+            found.append(scatter_scores(q, d, k))
+            if len(found) > 16:
+                found = [merge_lists(found, k)[:3]]
+    if found:
+        yield flush()
+
+
+def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for _, found in gather(batches, np.int64, np.int64, np.float64):
+        query, doc, score, rank = merge_lists([tuple(found)], k)
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(np.round(score, 6)), pa.array(rank.astype(np.int32))], names=["vec_id", "neighbour_id", "score", "rank"])
+
+
+def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
+    """The k nearest rows of every row by cosine: vec_id, neighbour_id, score (6 digits), rank (from 1).
+
+    Every row is a query, and a candidate for all rows with another vec_id. Ties go to the smaller
+    id. Rows without vec_id, and null, empty, zero and non-finite vectors, have no cosine and
+    neither ask nor answer; a null element counts as 0, and so do places beyond a shorter vector's
+    end. Of rows that share a vec_id the first vector (in array order) stands. Fewer than k rows
+    give shorter lists. Other columns are ignored.
+    """
+    spark = vectors.sparkSession
+    prepare(spark)
+    shards = partitions(spark)
+    rows = columns(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = rows.filter("id IS NOT NULL AND vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"))
+    blocks = rows.mapInArrow(_blocks, BLOCK).checkpoint()
+    side = lambda p: blocks.select(*(F.col(c).alias(p + c) for c in ("ids", "off", "terms", "weights")))
+    found = side("q_").crossJoin(side("d_")).mapInArrow(partial(_pairs, k=k, shards=shards), "shard int, query binary, doc binary, score binary")
+    return by_shard(found, shards).mapInArrow(partial(_merged, k=k), "vec_id long, neighbour_id long, score double, rank int")
+
+
+SQL_VECTORS = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+u AS (SELECT vec_id, list_transform(e, lambda x: x / norm) AS e FROM n WHERE norm > 0),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_dot_product(a.e, b.e) AS score FROM u a, u b WHERE a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM s)
+SELECT vec_id, neighbour_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+"""
+
+
 class Queries:
     """terms: the distinct term hashes, sorted; each query is a list of (term index, frequency)."""
 
