@@ -74,4 +74,5 @@ def gather(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[in
 
 
 def by_shard(df: DataFrame, shards: int) -> DataFrame:
-    return df.repartition(shards, "shard").sortWithinPartitions("shard")
+    """A partition for each shard: hashed, some partitions would get several and others none."""
+    return df.repartitionById(shards, "shard")
