@@ -18,14 +18,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import combinations, groupby
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, fresh, partitions, prepare, row_id
+from .common import by_shard, columns, fresh, gather, partitions, prepare, row_id, scatter
 from .text import U, Words, mix, simhash, slices, spans
 
 RADIUS, SUPPORT, SHORT, FEW = 7, 18, 4, 8
@@ -178,20 +178,11 @@ def _route(batches: Iterator[pa.RecordBatch], mask: np.ndarray, shards: int) ->
         x, y = np.tile(x, 2 * len(mask)), np.tile(y, 2 * len(mask))
         main = np.where(combo < len(mask), x, y)
         key = mix((main & mask[combo % len(mask)]) ^ (combo.astype(U) * U(0x9E3779B97F4A7C15)))
-        shard = (key % U(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        ends = np.searchsorted(shard[order], np.arange(shards + 1))
-        some = np.flatnonzero(np.diff(ends))
-        cut = lambda z: pa.array([z[order[ends[s] : ends[s + 1]]].tobytes() for s in some], pa.binary())  # noqa: E731, B023
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), cut(combo), cut(x), cut(y)], names=["shard", "combo", "a", "b"])
+        yield scatter((key % U(shards)).astype(np.int64), shards, combo=combo, a=x, b=y)
 
 
 def _search(batches: Iterator[pa.RecordBatch], mask: np.ndarray, radius: int, support: int) -> Iterator[pa.RecordBatch]:
-    rows = (r for batch in batches for r in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in (1, 2, 3))))
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        held = list(group)
-        combo, a, b = (np.frombuffer(b"".join(r[k].as_buffer() for r in held), t) for k, t in ((1, np.uint16), (2, U), (3, U)))
-        del held
+    for _, (combo, a, b) in gather(batches, np.uint16, U, U):
         u, v = shard_edges(combo, a, b, mask, radius, support)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
@@ -228,7 +219,7 @@ def _decided(docs: DataFrame, radius: int, support: int) -> DataFrame:
     nodes = rows.filter("node IS NOT NULL").groupBy("node", "a", "b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count("*").alias("n")).checkpoint()
     mask, shards = masks(*plan_blocks(nodes.count(), radius)), partitions(spark)
     routed = nodes.select("a", "b").mapInArrow(partial(_route, mask=mask, shards=shards), "shard int, combo binary, a binary, b binary")
-    edges = routed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(partial(_search, mask=mask, radius=radius, support=support), "u long, v long")
+    edges = by_shard(routed, shards).mapInArrow(partial(_search, mask=mask, radius=radius, support=support), "u long, v long")
     roots = connect(edges)
     nodes = nodes.select("node", "first", "n").join(roots, "node", "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
     groups = nodes.groupBy("root").agg(F.min("first").alias("kept"), F.sum("n").alias("size"))
