@@ -111,7 +111,7 @@ class Words:
         n = len(self.hash)
         out = np.zeros(n, U)
         for j in range(k):
-            out[: n - j or None] += self.hash[j:] * U((_BASE * (2 * j + 3)) % (1 << 64) | 1)
+            out[: max(n - j, 0)] += self.hash[j:] * U((_BASE * (2 * j + 3)) % (1 << 64) | 1)
         whole = np.repeat(self.off[1:], self.count()) - np.arange(n) >= k
         return mix(out), whole
 
