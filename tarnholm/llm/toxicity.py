@@ -59,24 +59,33 @@ class Model:
         return self.bias + np.bincount(doc, weights=self.weights[at], minlength=len(w))
 
 
-def screen(sets: list[np.ndarray], positive: np.ndarray, most: int) -> np.ndarray:
-    """The features that are most over-represented in the positives' texts."""
-    if not positive.any() or not sum(map(len, sets)):
-        return np.zeros(0, np.uint32)
-    flat, owner = np.concatenate(sets), np.repeat(positive, [len(s) for s in sets])
-    names, at = np.unique(flat, return_inverse=True)
-    p, u = np.bincount(at, weights=owner), np.bincount(at, weights=~owner)
-    n, m = positive.sum(), max(1, (~positive).sum())
+def screen(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
+    """The features that are most over-represented in the positives' texts; each set has a feature once."""
+    n, m = len(positive), max(1, len(unlabelled))
+    names, p = np.unique(np.concatenate(positive), return_counts=True)
+    names, p = names[p >= 3], p[p >= 3]
+    u = np.zeros(len(names), np.int64)
+    for s in unlabelled if len(names) else []:
+        at = np.minimum(np.searchsorted(names, s), len(names) - 1)
+        u[at[names[at] == s]] += 1
     rate = (p + u + 1) / (n + m + 2)
     z = (p / n - u / m) / np.sqrt(rate * (1 - rate) * (1 / n + 1 / m))
-    chosen = np.flatnonzero((p >= 3) & (z > 3) & (p / n > 2 * u / m))
+    chosen = np.flatnonzero((z > 3) & (p / n > 2 * u / m))
     return names[chosen[np.argsort(-z[chosen], kind="stable")][:most]]
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
+    """Which features of a sorted vocabulary each set has, as 0 and 1."""
+    x = np.zeros((len(sets), len(vocabulary)), np.float32)
+    for row, s in zip(x, sets):
+        at = np.minimum(np.searchsorted(vocabulary, s), len(vocabulary) - 1)
+        row[at[vocabulary[at] == s]] = 1
+    return x
+
+
+def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the sigmoid loss, by Adam on all rows."""
-    xp, xu = x[positive], x[~positive]
-    w = np.zeros(x.shape[1] + 1, np.float64)
+    w = np.zeros(xp.shape[1] + 1, np.float64)
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -125,19 +134,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, prior: float |
     # at most 2 * sample ids: the broadcast is bounded by the parameter
     rows = texts.join(F.broadcast(chosen), "id").select("id", "p", "u", "text").mapInArrow(_sets, "id long, p boolean, u boolean, found binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.found)))
-    sets = [np.frombuffer(r.found, np.uint32) for r in rows for kind in (r.p, r.u) if kind]
-    positive = np.array([k for r in rows for k, kind in ((True, r.p), (False, r.u)) if kind], bool)
+    kinds = [[np.frombuffer(r.found, np.uint32) for r in rows if r[kind]] for kind in ("p", "u")]
     nothing = Model(np.zeros(0, np.uint32), np.zeros(0), -1.0)
-    if not positive.any() or positive.all():
+    if not all(kinds):
         return nothing
-    vocabulary = screen(sets, positive, most)
+    vocabulary = np.sort(screen(*kinds, most))
     if not len(vocabulary):
         return nothing
-    blank = Model(vocabulary, np.zeros(len(vocabulary)), 0.0)
-    at, doc = blank.matrix(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-    x = np.zeros((len(sets), len(vocabulary)), np.float32)
-    x[doc, at] = 1
-    return Model(blank.vocabulary, *fit_nnpu(x, positive, prior))
+    return Model(vocabulary, *fit_nnpu(*(presence(k, vocabulary) for k in kinds), prior))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -196,7 +196,7 @@ def test_the_negative_risk_is_corrected():
     positive = np.arange(400) < 100
     x[:, 0] = 0
     x[:130, 0] = 1  # positives, 30 of them among the unlabelled
-    w, b = toxicity.fit_nnpu(x, positive, prior=0.1)
+    w, b = toxicity.fit_nnpu(x[positive], x[~positive], prior=0.1)
     assert w.min() >= 0 and w[0] + b > 0 > w[1:].max() + b
 
 
