@@ -5,17 +5,16 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import types
 from .plans.learned import JoinStats, learned_sql
 from .sources.csv import read_csv
-from .sqltext import Select, SQLError, item, order_nulls, parse_select, split, substitute, unique_names
+from .sqltext import Select, SQLError, item, order_nulls, parse_select, pieces, split, substitute, unique_names
 
 FLAGS = {"primary key": "primary", "unique": "unique", "not null": "not_null", "foreign key": "foreign"}
 RESERVED = ("subquery.", "subquerycol.", "filtered.", "joined.", "result.")
@@ -98,11 +97,10 @@ class Database:
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str, *names: str) -> Database:
-        """Existing Parquet files as tables; nothing is written."""
+        """Existing Parquet files as tables, read when a query names them; nothing is written."""
         db = cls(spark, folder)
         for n in names:
-            schema = spark.read.parquet(f"{folder}/{n}.parquet").schema
-            db.tables[n] = Table(n, [Column(f.name.lower(), f.dataType.simpleString()) for f in schema], f"{folder}/{n}.parquet")
+            db.tables[n] = Table(n, [], f"{folder}/{n}.parquet")
         return db
 
     def _store(self) -> None:
@@ -119,8 +117,10 @@ class Database:
     def df(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.table(name).path)
 
-    def frames(self) -> dict[str, DataFrame]:
-        return {n: self.df(n) for n in self.tables}
+    def frames(self, sql: str | None = None) -> dict[str, DataFrame]:
+        """The tables, or those whose names occur in a query."""
+        words = None if sql is None else {p.strip("`").lower() for p in pieces(sql)}
+        return {n: self.df(n) for n in self.tables if words is None or n in words}
 
     # DDL
     def create_table(self, sql: str) -> Table:
@@ -196,8 +196,6 @@ class Database:
             offsets[p], total = total, total + counts[p]
         if not offsets:
             return self.spark.createDataFrame([], "code long, value string")
-        from pyspark.sql import Window
-
         base = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("part"))
         local = F.row_number().over(Window.partitionBy("part").orderBy("value"))
         return placed.select((base + local - 1).cast("long").alias("code"), "value")
@@ -229,9 +227,9 @@ class Database:
         return out
 
     # queries
-    def views(self) -> None:
-        for n in self.tables:
-            self.df(n).createOrReplaceTempView(n)
+    def views(self, sql: str | None = None) -> None:
+        for n, df in self.frames(sql).items():
+            df.createOrReplaceTempView(n)
 
     def select(self, sql: str, learned: bool = False, **options) -> DataFrame:
         """The rows of a SELECT; with INTO, they become a table that is then read.
@@ -244,13 +242,13 @@ class Database:
         except SQLError as e:
             if "isn't taken apart" not in str(e):
                 raise
-            self.views()
+            self.views(sql)
             return self.spark.sql(sql)
         prepare_select(parts)
         if learned:
-            df, self.last = learned_sql(self.spark, parts.sql(), self.frames(), **options)
+            df, self.last = learned_sql(self.spark, parts.sql(), self.frames(sql), **options)
         else:
-            self.views()
+            self.views(sql)
             df = self.spark.sql(parts.sql())
         if parts.into:
             return self.spark.read.parquet(self.insert_result(parts.into, df).path)
@@ -269,9 +267,3 @@ def prepare_select(s: Select) -> None:
         s.order = order_nulls(s.order)
     if s.limit and not re.fullmatch(r"\d+", s.limit):
         raise SQLError("LIMIT must be a number")
-
-
-def script(text: str) -> Iterator[str]:
-    from .sqltext import statements
-
-    yield from statements(text)

@@ -100,7 +100,7 @@ class Console:
             for p in files:
                 sql, start = p.read_text(), time.perf_counter()
                 try:
-                    df, stats = learned_sql(self.db.spark, sql.strip().rstrip(";"), self.db.frames())
+                    df, stats = learned_sql(self.db.spark, sql.strip().rstrip(";"), self.db.frames(sql))
                 except SQLError:
                     df, stats = self.db.select(sql), JoinStats()
                 rows = df.count()

@@ -18,7 +18,7 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sqltext import order_nulls
@@ -131,16 +131,17 @@ def learned_join(
         now[table] = inputs[table].filter(F.col(BATCH).isin(take)).alias(table)
         path = f"{folder}/{len(stats.episodes)}"
         start = time.perf_counter()
-        join_in_order(graph, now, order).select(*out_columns).write.parquet(path)
+        seen = Observation()
+        joined = join_in_order(graph, now, order).select(*out_columns)
+        joined.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
         seconds = time.perf_counter() - start
-        part = spark.read.parquet(path)
-        parts.append(part)
+        parts.append(spark.read.schema(joined.schema).parquet(path))
         speed = len(take) / batches / max(seconds, 1e-6)
         fastest = max(fastest, speed)
         reward = speed / fastest
         if exploring:
             search.learn(order, reward)
-        stats.episodes.append(Episode(order, table, take, seconds, part.count(), reward))
+        stats.episodes.append(Episode(order, table, take, seconds, seen.get["rows"], reward))
         remaining[table] = remaining[table][len(take) :]
     stats.join_millis = 1000 * sum(e.seconds for e in stats.episodes)
     stats.tree, stats.nodes = search.rows(), search.nodes
