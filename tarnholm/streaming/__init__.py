@@ -1,0 +1 @@
+"""Files that keep arriving, into tables of a database."""
