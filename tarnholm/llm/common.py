@@ -76,3 +76,13 @@ def gather(batches: Iterator[pa.RecordBatch], *kinds: type) -> Iterator[tuple[in
 def by_shard(df: DataFrame, shards: int) -> DataFrame:
     """A partition for each shard: hashed, some partitions would get several and others none."""
     return df.repartitionById(shards, "shard")
+
+
+def hashed_share(df: DataFrame, rows: int, want: int, *cols: str, salt: int = 0) -> DataFrame:
+    """About ``want`` of a table's ``rows``, by their hash: the same rows in every run, order and layout.
+
+    Each task sends on its own share alone, where the smallest ``want`` hashes would be sent by every task.
+    """
+    if rows <= want:
+        return df
+    return df.filter(F.pmod(F.xxhash64(*cols, F.lit(salt)), F.lit(1 << 31)) < F.lit(int((1 << 31) * want / rows)))

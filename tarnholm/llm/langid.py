@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, prepare
+from .common import columns, hashed_share, prepare
 from .text import raw, slices
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
@@ -114,12 +114,14 @@ class ByteNet:
 def train(docs: DataFrame, sample: int = 3000, seed: int = 0) -> ByteNet | None:
     """A network fitted to a bounded sample of the labelled texts; None if there are none.
 
-    sample: how many texts, those with the smallest hash, whatever the size of the table.
+    sample: about how many texts, chosen by a hash of their ids, whatever the size of the table.
     """
-    labelled = columns(docs, "doc_id", "text", "lang").filter("lang IS NOT NULL AND text <> ''")
-    rows = labelled.select("lang", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "lang").limit(sample).collect()
+    labelled = columns(docs, "doc_id", "text", "lang").filter("lang IS NOT NULL")
+    labelled = hashed_share(labelled, labelled.select("lang").count(), sample, "doc_id").filter("text <> ''")
+    rows = labelled.select("doc_id", "lang", "text").collect()
     if not rows:
         return None
+    rows.sort(key=lambda r: (r.doc_id or 0, r.lang, r.text))
     classes = sorted({r.lang for r in rows})
     x, owner = windows(*raw(pa.array([r.text for r in rows]), lower=False))
     # as many windows of each text at most, drawn from all of it, so that no text dominates
