@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, prepare
+from .common import columns, hashed_share, prepare
 from .text import U, Words, slices
 
 STEMS = (4, 6)
@@ -117,21 +117,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, prior: float | None = None, most: int = 3000) -> Model:
     """A model fitted to a bounded sample of labelled rows, whatever the size of the tables.
 
-    sample: how many confirmed toxic rows at most, and how many rows taken as unlabelled, those
-    with the smallest hashes. prior: the share of toxic texts; the share among all labelled rows
+    sample: about how many confirmed toxic rows at most, and rows taken as unlabelled, chosen by a
+    hash of their ids. prior: the share of toxic texts; the share among all labelled rows
     if not given. most: how many features. Without positives the model rejects nothing.
     """
     prepare(docs.sparkSession)
     known = columns(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
-    pick = lambda df, salt: df.orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(sample)
-    if prior is None:
-        prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    chosen = pick(known.filter("toxic"), 1).select("id", F.lit(True).alias("p")).unionByName(pick(known, 2).select("id", F.lit(False).alias("p")))
+    total, toxic = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
+    if not toxic:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -1.0)
+    prior = toxic / total if prior is None else prior
+    positives = hashed_share(known.filter("toxic"), toxic, sample, "id", salt=1)
+    unlabelled = hashed_share(known, total, sample, "id", salt=2)
+    chosen = positives.select("id", F.lit(True).alias("p")).unionByName(unlabelled.select("id", F.lit(False).alias("p")))
     chosen = chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u"))  # both: p and not u
     chosen = chosen.select("id", "p", (~F.col("u")).alias("u"))
     texts = columns(docs, "doc_id", "text").filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    # at most 2 * sample ids: the broadcast is bounded by the parameter
+    # about 2 * sample ids: the broadcast is bounded by the parameter
     rows = texts.join(F.broadcast(chosen), "id").select("id", "p", "u", "text").mapInArrow(_sets, "id long, p boolean, u boolean, found binary").collect()
     rows.sort(key=lambda r: (r.id, bytes(r.found)))
     kinds = [[np.frombuffer(r.found, np.uint32) for r in rows if r[kind]] for kind in ("p", "u")]
