@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, partitions, prepare
+from .common import columns, hashed_share, partitions, prepare
 
 RUN_ROWS = 100_000
 KEYS = ["urlkey", "captured_at", "page_id", "url", "digest"]
@@ -170,9 +170,8 @@ def capture_index(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     prepare(spark)
     found = captures(pages)
-    keys = found.select("urlkey", F.xxhash64("urlkey", "page_id").alias("h"))
-    n = partitions(spark)
-    sample = sorted(r[0] for r in keys.orderBy("h").limit(n * 50).collect())
+    keys, n = found.select("urlkey", "page_id"), partitions(spark)
+    sample = sorted(r[0] for r in hashed_share(keys, pages.count(), n * 50, "urlkey", "page_id").select("urlkey").collect())
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     counts = dict(found.select("urlkey").mapInArrow(partial(_counts, bounds=bounds), "range int, n long").groupBy("range").agg(F.sum("n")).collect())
     offsets = np.concatenate([[0], np.cumsum([counts.get(i, 0) for i in range(len(bounds) + 1)])]).tolist()
