@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Iterator
 from itertools import groupby
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Python workers get batches of at most this much, so that very long texts don't pile up.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
@@ -24,6 +27,10 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
+    # workers on this machine, or on others that have the folder, find the package wherever they start
+    path = sc.environment.get("PYTHONPATH", "")
+    if ROOT not in path.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (path, ROOT)))
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
