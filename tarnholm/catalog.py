@@ -158,7 +158,8 @@ class Database:
 
     def load_csv(self, name: str, path: str, separator: str = ",", null: str = "NULL") -> int:
         """Replaces a table's rows by a file's; how many there are."""
-        self.replace(name, read_csv(self.spark, path, self.table(name).schema(), separator, null))
+        times = tuple(c.name for c in self.table(name).columns if c.type.strip().lower() == "time")
+        self.replace(name, read_csv(self.spark, path, self.table(name).schema(), separator, null, times))
         return self.df(name).count()
 
     def insert_result(self, name: str, df: DataFrame) -> Table:
@@ -227,39 +228,44 @@ class Database:
         return out
 
     # queries
-    def views(self, sql: str | None = None) -> None:
-        for n, df in self.frames(sql).items():
+    def views(self, sql: str | None = None) -> dict[str, DataFrame]:
+        frames = self.frames(sql)
+        for n, df in frames.items():
             df.createOrReplaceTempView(n)
+        return frames
 
     def select(self, sql: str, learned: bool = False, **options) -> DataFrame:
         """The rows of a SELECT; with INTO, they become a table that is then read.
 
-        Aliases of SELECT items may stand in WHERE. ORDER BY puts nulls last, DESC first.
-        learned: take the join order of a comma join by trial (see plans.learned).
+        Aliases of SELECT items may stand in WHERE, where no column has their name. ORDER BY puts
+        nulls last, DESC first. learned: take the join order of a comma join by trial (see
+        plans.learned); a query of another form is left to Catalyst.
         """
+        frames, self.last = self.views(sql), None
         try:
             parts = parse_select(sql)
         except SQLError as e:
             if "isn't taken apart" not in str(e):
                 raise
-            self.views(sql)
             return self.spark.sql(sql)
-        prepare_select(parts)
+        prepare_select(parts, {c.lower() for df in frames.values() for c in df.columns})
+        df = None
         if learned:
-            df, self.last = learned_sql(self.spark, parts.sql(), self.frames(sql), **options)
-        else:
-            self.views(sql)
-            df = self.spark.sql(parts.sql())
+            try:
+                df, self.last = learned_sql(self.spark, parts.sql(), frames, **options)
+            except SQLError:
+                pass  # Catalyst plans it, or says what is wrong
+        df = self.spark.sql(parts.sql()) if df is None else df
         if parts.into:
             return self.spark.read.parquet(self.insert_result(parts.into, df).path)
         return df
 
 
-def prepare_select(s: Select) -> None:
+def prepare_select(s: Select, columns: set[str]) -> None:
     """Rewrites what Spark's dialect lacks, in place: names for all columns, aliases in WHERE, null order."""
-    named = {a.lower(): e for e, a in s.items if a}
+    named = {a.lower(): e for e, a in s.items if a and a.lower() not in columns}
     if s.where and named:
-        s.where = substitute(s.where, {a: e for a, e in named.items() if e.lower() != a})
+        s.where = substitute(s.where, named)
     if all(e != "*" and not e.endswith(".*") for e, _ in s.items):
         s.select = ", ".join(f"{e} AS `{n}`" for (e, _), n in zip(s.items, unique_names(s.items)))
         s.items = [item(x) for x in split(s.select, ",")]

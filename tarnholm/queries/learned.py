@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Database
-from .tpch import TABLES, TEXT
+from .tpch import NET, TABLES, TEXT
 
 CHAIN = """
 SELECT r_name, o_orderpriority, count(*) AS n, round(sum(l_extendedprice), 2) AS price, min(l_shipdate) AS first_ship, max(c_name) AS last_name
@@ -15,19 +15,19 @@ FROM region, nation, customer, orders, lineitem
 WHERE r_regionkey = n_regionkey AND n_nationkey = c_nationkey AND c_custkey = o_custkey AND o_orderkey = l_orderkey AND o_orderstatus = 'F'
 GROUP BY r_name, o_orderpriority"""
 THREE = "SELECT c_mktsegment, count(*) AS n, round(sum(l_extendedprice), 2) AS price FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_mktsegment"
-Q07 = """
-SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(YEAR FROM l_shipdate) AS INTEGER) AS l_year, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
-FROM supplier, lineitem, orders, customer, nation n1, nation n2
-WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
- AND ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1'))
- AND l_shipdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00'
-GROUP BY n1.n_name, n2.n_name, CAST(extract(YEAR FROM l_shipdate) AS INTEGER)"""
-Q08 = """
-SELECT CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS o_year, round(sum(CASE WHEN n2.n_name = 'NATION_3' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS mkt_share
-FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region
-WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey
- AND n1.n_regionkey = r_regionkey AND r_name = 'ASIA' AND s_nationkey = n2.n_nationkey AND p_type = 'PROMO'
-GROUP BY CAST(extract(YEAR FROM o_orderdate) AS INTEGER)"""
+Q07 = f"""
+SELECT sn.n_name AS seller, cn.n_name AS buyer, CAST(extract(YEAR FROM li.l_shipdate) AS INTEGER) AS yr, round(sum({NET}), 4) AS net
+FROM lineitem li, orders o, customer c, nation cn, supplier s, nation sn
+WHERE li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = cn.n_nationkey AND li.l_suppkey = s.s_suppkey AND s.s_nationkey = sn.n_nationkey
+ AND ((cn.n_name = 'NATION_2' AND sn.n_name = 'NATION_1') OR (cn.n_name = 'NATION_1' AND sn.n_name = 'NATION_2'))
+ AND li.l_shipdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00'
+GROUP BY sn.n_name, cn.n_name, CAST(extract(YEAR FROM li.l_shipdate) AS INTEGER)"""
+Q08 = f"""
+SELECT CAST(extract(YEAR FROM o.o_orderdate) AS INTEGER) AS yr, round(sum(CASE sn.n_name WHEN 'NATION_3' THEN {NET} ELSE 0 END) / sum({NET}), 6) AS share
+FROM lineitem li, part p, orders o, customer c, nation cn, region r, supplier s, nation sn
+WHERE p.p_type = 'PROMO' AND li.l_partkey = p.p_partkey AND li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = cn.n_nationkey
+ AND cn.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' AND li.l_suppkey = s.s_suppkey AND s.s_nationkey = sn.n_nationkey
+GROUP BY CAST(extract(YEAR FROM o.o_orderdate) AS INTEGER)"""
 TEXTS = {"learned_3way": THREE, "learned_chain": CHAIN, "learned_q03": TEXT["q03"], "learned_q05": TEXT["q05"], "learned_q07": Q07, "learned_q08": Q08, "learned_q10": TEXT["q10"]}
 
 

@@ -331,7 +331,7 @@ def text(name: str, tables: str, sql: str) -> None:
 text("sub_from", "orders customer", "SELECT c_mktsegment, round(avg(n), 6) AS mean FROM customer, (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE c_custkey = o_custkey GROUP BY c_mktsegment")
 text("sub_scalar", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)")
 text("sub_correlated", "lineitem part", "SELECT l_orderkey, l_partkey FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand = 'Brand#3' AND l_quantity < (SELECT 0.3 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)")
-text("sub_in", "orders lineitem", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 250)")
+text("sub_in", "orders lineitem", "SELECT o.o_orderkey, o.o_totalprice FROM orders o WHERE o.o_orderkey IN (SELECT x.l_orderkey FROM lineitem x GROUP BY x.l_orderkey HAVING 250 < sum(x.l_quantity))")
 text("sub_not_in", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 text("sub_in_nested", "supplier lineitem part", "SELECT s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size IN (SELECT min(p_size) FROM part)))")
 text("sub_having", "lineitem", "SELECT l_suppkey, round(sum(l_extendedprice), 2) AS v FROM lineitem GROUP BY l_suppkey HAVING sum(l_extendedprice) > (SELECT 1.1 * sum(l_extendedprice) / count(DISTINCT l_suppkey) FROM lineitem)")

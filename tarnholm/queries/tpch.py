@@ -11,105 +11,107 @@ from ..catalog import Database
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 TEXT: dict[str, str] = {}
 
-TEXT["q01"] = """
-SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
- round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 6) AS sum_charge,
- round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '2001-08-01' - INTERVAL '71' DAY
-GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus"""
-
-TEXT["q03"] = """
-SELECT l_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS o_date
-FROM customer, orders, lineitem
-WHERE c_mktsegment = 'FURNITURE' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
- AND o_orderdate < TIMESTAMP '1998-03-29 00:00:00' AND l_shipdate > TIMESTAMP '1998-03-29 00:00:00'
-GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_date, l_orderkey LIMIT 10"""
-
-TEXT["q05"] = """
-SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
-FROM customer, orders, lineitem, supplier, nation, region
-WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey
- AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'ASIA'
- AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
-GROUP BY n_name ORDER BY revenue DESC"""
+NET = "li.l_extendedprice * (1 - li.l_discount)"
 
-TEXT["q06"] = """
-SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1997-01-01 00:00:00'
- AND l_discount BETWEEN 0.03 AND 0.08 AND l_quantity < 24"""
-
-TEXT["q07"] = """
-SELECT supp_nation, cust_nation, l_year, round(sum(volume), 4) AS revenue
-FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(extract(YEAR FROM l_shipdate) AS INTEGER) AS l_year, l_extendedprice * (1 - l_discount) AS volume
- FROM supplier, lineitem, orders, customer, nation n1, nation n2
- WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey
- AND ((n1.n_name = 'NATION_1' AND n2.n_name = 'NATION_2') OR (n1.n_name = 'NATION_2' AND n2.n_name = 'NATION_1'))
- AND l_shipdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00') shipping
-GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year"""
-
-TEXT["q08"] = """
-SELECT o_year, round(sum(CASE WHEN nation = 'NATION_3' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share
-FROM (SELECT CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation
- FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region
- WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey
- AND n1.n_regionkey = r_regionkey AND r_name = 'ASIA' AND s_nationkey = n2.n_nationkey AND p_type = 'PROMO') all_nations
-GROUP BY o_year ORDER BY o_year"""
-
-TEXT["q09"] = """
-SELECT nation, o_year, round(sum(amount), 4) AS sum_profit
-FROM (SELECT n_name AS nation, CAST(extract(YEAR FROM o_orderdate) AS INTEGER) AS o_year, l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity AS amount
- FROM part, supplier, lineitem, orders, nation
- WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%') profit
-GROUP BY nation, o_year ORDER BY nation, o_year DESC"""
-
-TEXT["q10"] = """
-SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, c_acctbal, n_name
-FROM customer, orders, lineitem, nation
-WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'
- AND o_orderdate < TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '3' MONTH AND l_returnflag = 'R' AND c_nationkey = n_nationkey
-GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20"""
+TEXT["q01"] = f"""
+SELECT li.l_returnflag AS flag, li.l_linestatus AS status, count(*) AS lines, round(sum(li.l_quantity), 2) AS quantity, round(sum(li.l_extendedprice), 2) AS gross,
+ round(sum({NET}), 4) AS net, round(sum({NET} * (li.l_tax + 1)), 6) AS charged, round(avg(li.l_quantity), 6) AS mean_quantity,
+ round(avg(li.l_extendedprice), 6) AS mean_price, round(avg(li.l_discount), 6) AS mean_discount
+FROM lineitem li WHERE li.l_shipdate < TIMESTAMP '2001-08-02 00:00:00' - INTERVAL '71' DAY
+GROUP BY li.l_returnflag, li.l_linestatus ORDER BY flag, status"""
 
 TEXT["q02"] = """
-SELECT s_acctbal, s_name, n_name, p_partkey, round(l_extendedprice / l_quantity, 6) AS unit_price
-FROM part, supplier, lineitem, nation, region
-WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND p_size = 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_name = 'EUROPE'
- AND l_extendedprice / l_quantity = (SELECT min(l2.l_extendedprice / l2.l_quantity) FROM lineitem l2, supplier s2, nation n2, region r2
-  WHERE p_partkey = l2.l_partkey AND s2.s_suppkey = l2.l_suppkey AND s2.s_nationkey = n2.n_nationkey AND n2.n_regionkey = r2.r_regionkey AND r2.r_name = 'EUROPE')
-ORDER BY s_acctbal DESC, n_name, s_name, p_partkey"""
+SELECT s.s_acctbal AS balance, s.s_name AS supplier, n.n_name AS nation, p.p_partkey AS part, round(li.l_extendedprice / li.l_quantity, 6) AS unit_price
+FROM lineitem li, part p, supplier s, nation n, region r
+WHERE r.r_name = 'EUROPE' AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey AND li.l_suppkey = s.s_suppkey AND li.l_partkey = p.p_partkey AND p.p_size = 15
+ AND li.l_extendedprice / li.l_quantity = (SELECT min(x.l_extendedprice / x.l_quantity) FROM lineitem x, supplier xs, nation xn, region xr
+  WHERE xr.r_name = 'EUROPE' AND xn.n_regionkey = xr.r_regionkey AND xs.s_nationkey = xn.n_nationkey AND x.l_suppkey = xs.s_suppkey AND x.l_partkey = p.p_partkey)
+ORDER BY balance DESC, nation, supplier, part"""
+
+TEXT["q03"] = f"""
+SELECT o.o_orderkey AS order_no, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR(10)) AS day, round(sum({NET}), 4) AS net
+FROM lineitem li, orders o, customer c
+WHERE o.o_orderkey = li.l_orderkey AND o.o_custkey = c.c_custkey AND c.c_mktsegment = 'FURNITURE'
+ AND li.l_shipdate > TIMESTAMP '1998-03-29 00:00:00' AND o.o_orderdate < TIMESTAMP '1998-03-29 00:00:00'
+GROUP BY o.o_orderkey, o.o_orderdate ORDER BY net DESC, day, order_no LIMIT 10"""
+
+TEXT["q05"] = f"""
+SELECT n.n_name AS nation, round(sum({NET}), 4) AS net
+FROM region r, nation n, supplier s, customer c, orders o, lineitem li
+WHERE r.r_name = 'ASIA' AND n.n_regionkey = r.r_regionkey AND s.s_nationkey = n.n_nationkey AND c.c_nationkey = s.s_nationkey
+ AND o.o_custkey = c.c_custkey AND li.l_orderkey = o.o_orderkey AND li.l_suppkey = s.s_suppkey
+ AND o.o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o.o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
+GROUP BY n.n_name ORDER BY net DESC"""
+
+TEXT["q06"] = """
+SELECT round(sum(li.l_discount * li.l_extendedprice), 4) AS saved FROM lineitem li
+WHERE li.l_quantity < 24 AND li.l_discount BETWEEN 0.03 AND 0.08
+ AND li.l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND li.l_shipdate < TIMESTAMP '1997-01-01 00:00:00'"""
+
+TEXT["q07"] = f"""
+SELECT t.seller, t.buyer, t.yr, round(sum(t.net), 4) AS net
+FROM (SELECT sn.n_name AS seller, cn.n_name AS buyer, CAST(extract(YEAR FROM li.l_shipdate) AS INTEGER) AS yr, {NET} AS net
+ FROM lineitem li, orders o, customer c, nation cn, supplier s, nation sn
+ WHERE li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = cn.n_nationkey AND li.l_suppkey = s.s_suppkey AND s.s_nationkey = sn.n_nationkey
+ AND ((cn.n_name = 'NATION_2' AND sn.n_name = 'NATION_1') OR (cn.n_name = 'NATION_1' AND sn.n_name = 'NATION_2'))
+ AND li.l_shipdate BETWEEN TIMESTAMP '1996-01-01 00:00:00' AND TIMESTAMP '1999-12-31 00:00:00') t
+GROUP BY t.seller, t.buyer, t.yr ORDER BY seller, buyer, yr"""
+
+TEXT["q08"] = f"""
+SELECT t.yr, round(sum(CASE WHEN t.seller = 'NATION_3' THEN t.net ELSE 0 END) / sum(t.net), 6) AS share
+FROM (SELECT CAST(extract(YEAR FROM o.o_orderdate) AS INTEGER) AS yr, {NET} AS net, sn.n_name AS seller
+ FROM lineitem li, part p, orders o, customer c, nation cn, region r, supplier s, nation sn
+ WHERE p.p_type = 'PROMO' AND li.l_partkey = p.p_partkey AND li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = cn.n_nationkey
+ AND cn.n_regionkey = r.r_regionkey AND r.r_name = 'ASIA' AND li.l_suppkey = s.s_suppkey AND s.s_nationkey = sn.n_nationkey) t
+GROUP BY t.yr ORDER BY yr"""
+
+TEXT["q09"] = f"""
+SELECT t.seller, t.yr, round(sum(t.gain), 4) AS gain
+FROM (SELECT n.n_name AS seller, CAST(extract(YEAR FROM o.o_orderdate) AS INTEGER) AS yr, {NET} - li.l_quantity * p.p_retailprice AS gain
+ FROM lineitem li, orders o, part p, supplier s, nation n
+ WHERE p.p_name LIKE '%red%' AND li.l_partkey = p.p_partkey AND li.l_orderkey = o.o_orderkey AND li.l_suppkey = s.s_suppkey AND s.s_nationkey = n.n_nationkey) t
+GROUP BY t.seller, t.yr ORDER BY seller, yr DESC"""
+
+TEXT["q10"] = f"""
+SELECT c.c_custkey AS customer, c.c_name AS name, n.n_name AS nation, c.c_acctbal AS balance, round(sum({NET}), 4) AS lost
+FROM lineitem li, orders o, customer c, nation n
+WHERE li.l_returnflag = 'R' AND li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n.n_nationkey
+ AND o.o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o.o_orderdate < TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '3' MONTH
+GROUP BY c.c_custkey, c.c_name, n.n_name, c.c_acctbal ORDER BY lost DESC, customer LIMIT 20"""
 
 TEXT["q11"] = """
-SELECT l_partkey, round(sum(l_extendedprice * l_quantity), 2) AS part_value
-FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_3'
-GROUP BY l_partkey
-HAVING sum(l_extendedprice * l_quantity) > (SELECT sum(l_extendedprice * l_quantity) * 0.001 FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_3')
-ORDER BY part_value DESC, l_partkey"""
+SELECT li.l_partkey AS part, round(sum(li.l_quantity * li.l_extendedprice), 2) AS held
+FROM nation n, supplier s, lineitem li WHERE n.n_name = 'NATION_3' AND s.s_nationkey = n.n_nationkey AND li.l_suppkey = s.s_suppkey
+GROUP BY li.l_partkey
+HAVING sum(li.l_quantity * li.l_extendedprice) > (SELECT 0.001 * sum(x.l_quantity * x.l_extendedprice) FROM nation xn, supplier xs, lineitem x WHERE xn.n_name = 'NATION_3' AND xs.s_nationkey = xn.n_nationkey AND x.l_suppkey = xs.s_suppkey)
+ORDER BY held DESC, part"""
 
-TEXT["q14"] = """
-SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)), 6) AS promo_revenue
-FROM lineitem, part WHERE l_partkey = p_partkey AND l_shipdate >= TIMESTAMP '1996-03-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-04-01 00:00:00'"""
+TEXT["q14"] = f"""
+SELECT round(sum(CASE WHEN p.p_type LIKE 'PROMO%' THEN {NET} ELSE 0 END) * 100.0 / sum({NET}), 6) AS promo_percent
+FROM part p, lineitem li WHERE p.p_partkey = li.l_partkey AND li.l_shipdate < TIMESTAMP '1996-04-01 00:00:00' AND li.l_shipdate >= TIMESTAMP '1996-03-01 00:00:00'"""
 
 TEXT["q17"] = """
-SELECT round(sum(l_extendedprice) / 7.0, 6) AS avg_yearly FROM lineitem, part
-WHERE p_partkey = l_partkey AND p_brand = 'Brand#2' AND p_type = 'SMALL'
- AND l_quantity < (SELECT 0.2 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)"""
+SELECT round(sum(li.l_extendedprice) / 7.0, 6) AS yearly FROM part p, lineitem li
+WHERE p.p_type = 'SMALL' AND p.p_brand = 'Brand#2' AND li.l_partkey = p.p_partkey
+ AND li.l_quantity < (SELECT avg(x.l_quantity) * 0.2 FROM lineitem x WHERE x.l_partkey = p.p_partkey)"""
 
 TEXT["q18"] = """
-SELECT c_name, c_custkey, o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS o_date, o_totalprice, round(sum(l_quantity), 2) AS quantity
-FROM customer, orders, lineitem
-WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 260) AND c_custkey = o_custkey AND o_orderkey = l_orderkey
-GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderkey"""
+SELECT o.o_orderkey AS order_no, c.c_custkey AS customer, c.c_name AS name, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR(10)) AS day, o.o_totalprice AS total, round(sum(li.l_quantity), 2) AS quantity
+FROM lineitem li, orders o, customer c
+WHERE li.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND o.o_orderkey IN (SELECT x.l_orderkey FROM lineitem x GROUP BY x.l_orderkey HAVING sum(x.l_quantity) > 260)
+GROUP BY o.o_orderkey, c.c_custkey, c.c_name, o.o_orderdate, o.o_totalprice ORDER BY total DESC, order_no"""
 
-TEXT["q19"] = """
-SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM lineitem, part
-WHERE (p_partkey = l_partkey AND p_brand = 'Brand#22' AND l_quantity >= 1 AND l_quantity <= 11 AND p_size BETWEEN 1 AND 15)
- OR (p_partkey = l_partkey AND p_brand = 'Brand#23' AND l_quantity >= 10 AND l_quantity <= 20 AND p_size BETWEEN 1 AND 25)
- OR (p_partkey = l_partkey AND p_brand = 'Brand#12' AND l_quantity >= 20 AND l_quantity <= 30 AND p_size BETWEEN 1 AND 35)"""
+BRANDS = (("Brand#22", 1, 15), ("Brand#23", 10, 25), ("Brand#12", 20, 35))
+TEXT["q19"] = f"SELECT round(sum({NET}), 4) AS net FROM part p, lineitem li WHERE " + " OR ".join(
+    f"(p.p_size BETWEEN 1 AND {size} AND li.l_quantity BETWEEN {low} AND {low + 10} AND p.p_brand = '{brand}' AND li.l_partkey = p.p_partkey)" for brand, low, size in BRANDS
+)
 
 TEXT["q20"] = """
-SELECT s_name, s_acctbal FROM supplier, nation
-WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem l1 WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%')
-  AND l_quantity > (SELECT 0.5 * avg(l2.l_quantity) FROM lineitem l2 WHERE l2.l_partkey = l1.l_partkey))
- AND s_nationkey = n_nationkey AND n_name = 'NATION_3' ORDER BY s_name"""
+SELECT s.s_name AS supplier, s.s_acctbal AS balance FROM nation n, supplier s
+WHERE n.n_name = 'NATION_3' AND s.s_nationkey = n.n_nationkey
+ AND s.s_suppkey IN (SELECT li.l_suppkey FROM lineitem li WHERE li.l_quantity > (SELECT avg(x.l_quantity) * 0.5 FROM lineitem x WHERE x.l_partkey = li.l_partkey)
+  AND li.l_partkey IN (SELECT p.p_partkey FROM part p WHERE p.p_name LIKE 'red%'))
+ORDER BY supplier"""
 
 
 def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,6 +37,13 @@ def test_load_csv_with_nulls_quotes_and_types(db, tmp_path):
     assert db.load_csv("t", str(tmp_path / "t.csv"), "|", "NULL") == 3  # replaces
 
 
+def test_times_are_seconds_of_the_day(db, tmp_path):
+    db.create_table("create table t (k int, at time)")
+    (tmp_path / "t.csv").write_text("1,12:30:05\n2,\n")
+    db.load_csv("t", str(tmp_path / "t.csv"))
+    assert [r.at for r in db.select("SELECT * FROM t ORDER BY k").collect()] == [45005, None]
+
+
 def test_a_bad_field_is_an_error(db, tmp_path):
     db.create_table("create table t (i int)")
     (tmp_path / "t.csv").write_text("x\n")
@@ -74,6 +81,12 @@ def test_nulls_last_ascending_and_first_descending(db, spark):
     assert [r.k for r in db.select("SELECT k FROM t ORDER BY k DESC").collect()] == [None, 2, 1]
 
 
+def test_a_column_comes_before_an_alias_in_where(db, spark):
+    db.insert_result("t", spark.createDataFrame([(1, 5), (2, 6)], "a int, b int"))
+    assert [tuple(r) for r in db.select("SELECT a + 10 AS a, b AS c FROM t WHERE a = 1 AND c = 5").collect()] == [(11, 5)]
+    assert db.select("SELECT a FROM t WHERE a IN (SELECT min(a) FROM t)", learned=True).count() == 1 and db.last is None
+
+
 def test_in_with_duplicates_does_not_multiply_and_distinct_works(db, spark):
     db.insert_result("o", spark.createDataFrame([(1,), (2,), (2,)], "k int"))
     db.insert_result("i", spark.createDataFrame([(2,), (2,), (None,)], "k int"))
