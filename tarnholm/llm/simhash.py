@@ -29,7 +29,7 @@ from .common import by_shard, columns, fresh, gather, partitions, prepare, row_i
 from .text import U, Words, mix, simhash, slices, spans
 
 RADIUS, SUPPORT, SHORT, FEW = 7, 18, 4, 8
-VISITS = 2_000_000
+VISITS = 1_000_000
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def shard_edges(combo: np.ndarray, a: np.ndarray, b: np.ndarray, mask: np.ndarra
 def _route(batches: Iterator[pa.RecordBatch], mask: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
     held = list(batches)
     a, b = (np.concatenate([x.column(c).to_numpy() for x in held] or [np.zeros(0, np.int64)]).view(U) for c in ("a", "b"))
-    step = max(1, 4_000_000 // (2 * len(mask)))
+    step = max(1, 1_000_000 // (2 * len(mask)))
     for i in range(0, len(a), step):
         x, y = a[i : i + step], b[i : i + step]
         combo = np.repeat(np.arange(2 * len(mask)), len(x)).astype(np.uint16)
