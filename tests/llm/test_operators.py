@@ -465,6 +465,21 @@ def test_rows_with_one_id_and_empty_tables(spark):
     assert substring.cut_passages(docs_of(spark, [(1, t), (2, t)])).select("doc_id").collect() == [(1,)]  # nothing is left of 2
 
 
+def test_every_place_of_a_passage_is_found(spark):
+    rng = np.random.default_rng(21)
+    p = sentence(rng, 60, 10**6).split(" ")
+    gap = lambda: sentence(rng, 50, 10**6).split(" ")
+    three = gap() + p + gap() + p + gap() + p
+    teaser = p[:30] + gap() + p
+    both = p[:30] + gap() + p + gap()
+    rows = [(1, gap() + p), (2, three), (3, teaser), (4, gap() + p), (5, both)]
+    got = substring.passages(docs_of(spark, [(i, " ".join(t)) for i, t in rows])).collect()
+    covered = {i: {w for r in got if r.doc_id == i for w in range(r.start, r.end)} for i, _ in rows}
+    assert covered[2] == {*range(50, 110), *range(160, 220), *range(270, 330)}
+    assert covered[3] >= set(range(80, 140)) and covered[5] >= set(range(80, 140)) and not covered[1]
+    assert covered[4] == set(range(50, 110))
+
+
 def brute_chain(frags):
     order = sorted(range(len(frags)), key=lambda i: frags[i])
     score = {}
