@@ -480,6 +480,26 @@ def test_every_place_of_a_passage_is_found(spark):
     assert covered[4] == set(range(50, 110))
 
 
+def test_passages_a_little_apart_are_each_found(spark):
+    rng = np.random.default_rng(22)
+    rows, want = [], {}
+    for k in range(12):
+        n, gap = (55, 22) if k % 2 else (60, 20)
+        three = [sentence(rng, n, 10**6) for _ in range(3)]
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, " ".join(f"{sentence(rng, gap, 10**6)} {p}" for p in three)))
+        want[2 * k + 1] = {w for j in range(3) for w in range(j * (n + gap) + gap, (j + 1) * (n + gap))}
+    # a long weak chain of one source doesn't hide a passage of another
+    p = sentence(rng, 45, 10**6).split(" ")
+    weak = lambda: [x for c in range(9) for x in p[c * 5 : c * 5 + 5] + sentence(rng, 4, 10**6).split(" ")]
+    rows += [(100, " ".join(weak())), (101, " ".join(weak() + sentence(rng, 9, 10**6).split(" ") + p))]
+    covered = {i: set() for i, _ in rows}
+    for r in substring.passages(docs_of(spark, rows)).collect():
+        assert r.identity >= 0.8 and r.end - r.start >= 40
+        covered[r.doc_id] |= set(range(r.start, r.end))
+    assert all(covered[i] >= w for i, w in want.items())
+
+
 def brute_chain(frags):
     order = sorted(range(len(frags)), key=lambda i: frags[i])
     score = {}
