@@ -500,6 +500,18 @@ def test_passages_a_little_apart_are_each_found(spark):
     assert all(covered[i] >= w for i, w in want.items())
 
 
+@pytest.mark.parametrize("every", [5, 6, 7, 8])
+def test_passages_down_to_the_identity_are_found(spark, every):
+    rng = np.random.default_rng(23)
+    rows = []
+    for k in range(60):
+        p = sentence(rng, 54, 10**6).split(" ")
+        q = [f"edit{rng.integers(10**6)}" if i % every == every - 1 else x for i, x in enumerate(p)]
+        rows += [(2 * k, f"{sentence(rng, 50, 10**6)} {' '.join(p)} {sentence(rng, 50, 10**6)}"), (2 * k + 1, f"{sentence(rng, 30, 10**6)} {' '.join(q)} {sentence(rng, 30, 10**6)}")]
+    got = {(r.doc_id, r.source_id) for r in substring.passages(docs_of(spark, rows)).collect()}
+    assert got == {(2 * k + 1, 2 * k) for k in range(60)}
+
+
 def brute_chain(frags):
     order = sorted(range(len(frags)), key=lambda i: frags[i])
     score = {}
