@@ -20,20 +20,41 @@ from pyspark.sql import functions as F
 from .common import columns, prepare
 from .text import slices
 
-SKIPPED = frozenset("script style noscript template svg head iframe".split())
+SKIPPED = frozenset("script style noscript template svg iframe".split())
+IN_HEAD = frozenset("html head title meta link base basefont bgsound noframes script style noscript template".split())
 BLOCKS = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section select table tbody td tfoot th thead tr ul".split())
 SCHEMA = "page_id long, url string, content string, lines int, content_lines int"
 
 
 class LineParser(HTMLParser):
-    """Text, and number of tags, of each line."""
+    """Text, and number of tags, of each line.
 
-    def __init__(self) -> None:
+    A head ends at its end tag, at a tag that can't stand in it, or at text outside its title.
+    ``unclosed`` has the numbers of the skipped elements whose text counts, for they have no end tag.
+    """
+
+    def __init__(self, unclosed: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.texts: list[list[str]] = [[]]
         self.tags = [0]
         self.skipping: str | None = None
-        self.depth = 0
+        self.unclosed, self.number = unclosed, 0
+        self.open: list[int] = []  # numbers of the elements being skipped, one in another
+        self.endless: list[int] = []
+        self.head = self.title = False
+
+    def set_cdata_mode(self, elem: str, **how: bool) -> None:
+        if elem != "iframe":  # skipped by its tags, as one without an end tag would take all that follows
+            super().set_cdata_mode(elem, **how)
+
+    def close(self) -> None:
+        super().close()
+        self._give_up()
+
+    def _give_up(self) -> None:
+        if self.skipping not in ("script", "style"):
+            self.endless += self.open
+        self.skipping, self.open = None, []
 
     def _line(self) -> None:
         if self.texts[-1] or self.tags[-1]:
@@ -41,28 +62,42 @@ class LineParser(HTMLParser):
             self.tags.append(0)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.number += tag in SKIPPED
         if self.skipping:
-            self.depth += tag == self.skipping
+            if tag == self.skipping and self.number not in self.unclosed:
+                self.open.append(self.number)
             return
+        self.head = self.head and tag in IN_HEAD or tag == "head"
         if tag in SKIPPED:
-            self.skipping, self.depth = tag, 1
+            if self.number not in self.unclosed:
+                self.skipping, self.open = tag, [self.number]
+            return
+        if self.head:
+            self.title = tag == "title"
             return
         if tag in BLOCKS:
             self._line()
         self.tags[-1] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if not self.skipping and tag not in SKIPPED:
+        if self.skipping:
+            return
+        self.head = self.head and tag in IN_HEAD
+        if not self.head and tag not in SKIPPED and tag != "head":
             if tag in BLOCKS:
                 self._line()
             self.tags[-1] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if self.skipping:
-            self.depth -= tag == self.skipping
-            # an unclosed head ends where the body's content ends
-            if not self.depth or tag in ("html", "body"):
-                self.skipping = None
+            if tag == self.skipping:
+                self.open.pop()
+                self.skipping = tag if self.open else None
+            elif tag in ("html", "body"):
+                self._give_up()
+            return
+        if self.head:
+            self.head, self.title = tag not in ("head", "html", "body"), False
             return
         self.tags[-1] += 1
         if tag in BLOCKS:
@@ -71,6 +106,9 @@ class LineParser(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skipping:
             return
+        if self.head and (self.title or not data.strip()):
+            return
+        self.head = False
         first, *rest = data.split("\n")
         self.texts[-1].append(first)
         for x in rest:
@@ -87,9 +125,14 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.5) -> tuple[s
     """Content, number of lines, number of content lines."""
     if not html:
         return "", 0, 0
-    parser = LineParser()
-    parser.feed(html)
-    parser.close()
+    unclosed: frozenset[int] = frozenset()
+    while True:  # again if elements turn out to have no end tag
+        parser = LineParser(unclosed)
+        parser.feed(html)
+        parser.close()
+        if not parser.endless:
+            break
+        unclosed |= frozenset(parser.endless)
     text, tags = parser.lines()
     if not text:
         return "", 0, 0

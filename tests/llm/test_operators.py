@@ -221,6 +221,25 @@ def test_awkward_pages(spark):
     assert html.extract_pages(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<head><title>t</title><body><p>text</p></body>",
+        "<html><head><title>t</title><meta charset=x><link href=y><p>text</p></html>",
+        "<head><noscript><img src=x></noscript><title>t</title></head><body><p>text</body>",
+        "<head><title>t</title>text",
+        "<body><svg><path><p>text</p></body>",
+        "<body><iframe src=x><p>text</p></body>",
+        "<body><noscript><svg></svg><p>text</p></body>",
+        "<body><template><p>text</p>",
+        "<body><svg><svg>no</svg><p>text</p></body>",
+        "<body><svg><text>no</text></svg><iframe>no</iframe><noscript><p>no</p></noscript><p>text</p>",
+    ],
+)
+def test_optional_and_missing_end_tags_hide_no_text(page):
+    assert html.extract(page)[0] == "text"
+
+
 def test_a_short_line_between_long_ones_is_kept_and_a_menu_is_not():
     long = "word " * 60
     page = "<ul>" + "".join(f"<li><a href=/{i}>m{i}</a></li>" for i in range(30)) + f"</ul><p>{long}</p><p>short</p><p>{long}</p>"
