@@ -232,6 +232,14 @@ def join_triangle(spark, d):
     return joins.triangles(e)
 
 
+ALL_EDGES = "SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem"
+
+
+@query(f"SELECT x.a, x.b, y.b AS c FROM ({ALL_EDGES}) x, ({ALL_EDGES}) y, ({ALL_EDGES}) z WHERE x.b = y.a AND y.b = z.a AND z.b = x.a")
+def join_triangle_all(spark, d):
+    return joins.triangles(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct())
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def join_semi(spark, d):
     return read(spark, d, "customer").join(read(spark, d, "orders").filter("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
@@ -244,6 +252,13 @@ def join_null_keys(spark, d):
     return a.join(b, "k").select("x", "y")
 
 
+@query(f"SELECT a.c_custkey AS x, b.s_suppkey AS y FROM (SELECT c_custkey, {NULLED} AS k FROM customer) a, (SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN NULL ELSE s_nationkey END AS k FROM supplier) b WHERE a.k = b.k")
+def join_null_keys_all(spark, d):
+    a = read(spark, d, "customer").select(F.col("c_custkey").alias("x"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("k"))
+    b = read(spark, d, "supplier").select(F.col("s_suppkey").alias("y"), F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey")).alias("k"))
+    return a.join(b, "k").select("x", "y")
+
+
 # aggregation
 @query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS s, min(l_shipdate) AS first_, max(l_extendedprice) AS most, round(avg(l_discount), 6) AS mean FROM lineitem")
 def agg_global(spark, d):
@@ -307,6 +322,11 @@ def sort_nulls_first_desc(spark, d):
     return read(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("k")).orderBy(desc("k"), asc("c_custkey")).limit(600).select("c_custkey", F.col("k").cast("string").alias("k"))
 
 
+@query(f"SELECT c_custkey, CAST(k AS VARCHAR) AS k FROM (SELECT c_custkey, {NULLED} AS k FROM customer) t ORDER BY t.k DESC NULLS FIRST, c_custkey ASC NULLS LAST")
+def sort_nulls_first_desc_all(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("k")).orderBy(desc("k"), asc("c_custkey")).select("c_custkey", F.col("k").cast("string").alias("k"))
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def topk_total_order(spark, d):
     return read(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(desc("o_totalprice"), asc("o_orderkey")).limit(25)

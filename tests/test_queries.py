@@ -39,6 +39,17 @@ def test_every_query_of_these_has_sql():
     assert set(QUERIES) == set(SQL)
 
 
+def test_whole_tables_are_joined_and_sorted(spark):
+    sf = "/root/testdata/sf0.1"
+    if not os.path.exists(sf):
+        pytest.skip("no test data here")
+    customers = spark.read.parquet(f"{sf}/customer.parquet").count()
+    rows = [(r.k, r.c_custkey) for r in QUERIES["sort_nulls_first_desc_all"](spark, sf).collect()]
+    assert len(rows) == customers and rows[0][0] is None and rows[-1][0] is not None
+    assert rows == sorted(rows, key=lambda r: (r[0] is not None, -int(r[0] or 0), r[1]))
+    assert QUERIES["join_null_keys_all"](spark, sf).agg({"x": "max"}).first()[0] >= 200
+
+
 def test_entry(spark, sf):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
