@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, hashed_share, prepare
+from .common import columns, prepare
 from .text import raw, slices
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 12
+#: of each language about so many texts are in the sample, if it has them
+LEAST = 40
 SCHEMA = "doc_id long, language string, confidence double, windows int"
 
 
@@ -114,10 +116,17 @@ class ByteNet:
 def train(docs: DataFrame, sample: int = 3000, seed: int = 0) -> ByteNet | None:
     """A network fitted to a bounded sample of the labelled texts; None if there are none.
 
-    sample: about how many texts, chosen by a hash of their ids, whatever the size of the table.
+    sample: about how many texts, chosen by a hash of their ids, whatever the size of the table;
+    of a language that would have under LEAST of these, about LEAST, or all it has.
     """
-    labelled = columns(docs, "doc_id", "text", "lang").filter("lang IS NOT NULL")
-    labelled = hashed_share(labelled, labelled.select("lang").count(), sample, "doc_id").filter("text <> ''")
+    spark = docs.sparkSession
+    labelled = columns(docs, "doc_id", "text", "lang").filter("lang IS NOT NULL AND text <> ''")
+    counts = labelled.groupBy("lang").count().collect()
+    total = sum(r["count"] for r in counts)
+    if total > sample:
+        share = [(r.lang, int((1 << 31) * min(1.0, max(sample / total, LEAST / r["count"])))) for r in counts]
+        limits = F.broadcast(spark.createDataFrame(share, "lang string, _limit long"))
+        labelled = labelled.join(limits, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 31)) < F.col("_limit"))
     rows = labelled.select("doc_id", "lang", "text").collect()
     if not rows:
         return None

@@ -144,6 +144,13 @@ def test_language_of_held_out_texts(spark):
     assert langid.language_id(docs_of(spark, [])).count() == 0
 
 
+def test_a_rare_language_is_in_the_sample_of_a_large_table(spark):
+    rows = [(i, f"text number {i}", "aa") for i in range(6000)] + [(6000 + i, f"éèü {i}", "zz") for i in range(60)]
+    rows += [(7000 + i, f"öäß {i}", "yy") for i in range(3)] + [(8000, "", "none"), (8001, None, "none")]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50)
+    assert net.classes == ["aa", "yy", "zz"]
+
+
 def test_tables_give_what_the_filters_give():
     net = langid.ByteNet(["a", "b"], seed=3)
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
