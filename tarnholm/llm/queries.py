@@ -42,7 +42,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+    return topk.neighbours(table(spark, sf_dir, "embeddings"), every=topk.EVERY)
 
 
 def topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:

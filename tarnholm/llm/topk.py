@@ -1,11 +1,12 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
-``neighbours`` takes sparse rows, such as the vectors of a table, and treats every row as a
-query over all rows. Rows are packed into blocks; for each pair of a query block and a block of
-postings, term after term, the weighted postings are scattered into dense arrays of scores, the
-best k are selected by partition, and the lists of all pairs are merged. No block is broadcast:
-pairs of blocks are read from the shared checkpoint folder, so a task holds two blocks however
-many there are. The work is that of all pairs of rows, as an exhaustive search has it.
+``neighbours`` takes sparse rows, such as the vectors of a table, and a stated set of these, those
+whose id is divisible by ``every``, as queries over all rows. Rows are packed into blocks; for each
+pair of a query block and a block of postings, term after term, the weighted postings are scattered
+into dense arrays of scores, the best k are selected by partition, and the lists of all pairs are
+merged. No block is broadcast: pairs of blocks are read from the shared checkpoint folder, so a
+task holds two blocks however many there are. The work is that of all pairs of a query and a row,
+as an exhaustive search has it.
 
 ``top_k`` is the same over text: every row of the query table is a query. One pass over the
 documents keeps the postings of the queries' terms and the corpus statistics; a second one scores
@@ -26,6 +27,8 @@ from .common import by_shard, columns, gather, partitions, prepare, scatter
 from .text import U, Words, mix, slices
 
 K, K1, B = 10, 1.2, 0.75
+#: The registered search asks for every row whose id this divides.
+EVERY = 20
 #: Text of queries handled in one pass over the documents; more queries take more passes.
 PASS_BYTES = 4 << 20
 SIEVE = 1 << 20
@@ -144,11 +147,11 @@ def _merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc), pa.array(np.round(score, 6)), pa.array(rank.astype(np.int32))], names=["vec_id", "neighbour_id", "score", "rank"])
 
 
-def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
-    """The k nearest rows of every row by cosine: vec_id, neighbour_id, score (6 digits), rank (from 1).
+def neighbours(vectors: DataFrame, k: int = K, every: int = 1) -> DataFrame:
+    """The k nearest rows of every query by cosine: vec_id, neighbour_id, score (6 digits), rank (from 1).
 
-    Every row is a query, and a candidate for all rows with another vec_id. Ties go to the smaller
-    id. Rows without vec_id, and null, empty, zero and non-finite vectors, have no cosine and
+    The rows whose vec_id is divisible by ``every`` are queries; every row is a candidate for all
+    queries with another vec_id. Ties go to the smaller id. Rows without vec_id, and null, empty, zero and non-finite vectors, have no cosine and
     neither ask nor answer; a null element counts as 0, and so do places beyond a shorter vector's
     end. Of rows that share a vec_id the first vector (in array order) stands. Fewer than k rows
     give shorter lists. Other columns are ignored.
@@ -159,8 +162,9 @@ def neighbours(vectors: DataFrame, k: int = K) -> DataFrame:
     rows = columns(vectors, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     rows = rows.filter("id IS NOT NULL AND vector IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"))
     blocks = rows.mapInArrow(_blocks, BLOCK).checkpoint()
-    side = lambda p: blocks.select(*(F.col(c).alias(p + c) for c in ("ids", "off", "terms", "weights")))
-    found = side("q_").crossJoin(side("d_")).mapInArrow(partial(_pairs, k=k, shards=shards), "shard int, query binary, doc binary, score binary")
+    asked = blocks if every == 1 else rows.filter(F.pmod("id", F.lit(every)) == 0).mapInArrow(_blocks, BLOCK).checkpoint()
+    side = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in ("ids", "off", "terms", "weights")))
+    found = side(asked, "q_").crossJoin(side(blocks, "d_")).mapInArrow(partial(_pairs, k=k, shards=shards), "shard int, query binary, doc binary, score binary")
     return by_shard(found, shards).mapInArrow(partial(_merged, k=k), "vec_id long, neighbour_id long, score double, rank int")
 
 
@@ -168,7 +172,7 @@ SQL_VECTORS = """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
 u AS (SELECT vec_id, list_transform(e, lambda x: x / norm) AS e FROM n WHERE norm > 0),
-s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_dot_product(a.e, b.e) AS score FROM u a, u b WHERE a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id, b.vec_id AS neighbour_id, list_dot_product(a.e, b.e) AS score FROM u a, u b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, neighbour_id) AS rank FROM s)
 SELECT vec_id, neighbour_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
 """

@@ -1,5 +1,7 @@
 """The pipeline over the smallest tables: each stage on what the one before kept."""
 
+from pathlib import Path
+
 import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -26,7 +28,7 @@ def test_stages(spark, sf, tmp_path):
     tokens = {}
     for r in seen["packing"].orderBy("doc_id", "piece").collect():
         tokens.setdefault(r.doc_id, []).extend(r.tokens)
-    t = packing.Tokenizer(packing.VOCAB)
+    t = packing.Tokenizer(Path(packing.VOCAB).read_bytes())
     for r in seen["decontamination"].collect():
         assert t.encoding.decode(tokens[r.doc_id][:-1]) == r.text
     assert len(tokens) == seen["decontamination"].count()
