@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
 import uuid
 from dataclasses import dataclass, field
@@ -14,8 +15,9 @@ from pyspark.sql import types as T
 from . import types
 from .plans.learned import JoinStats, learned_sql
 from .sources.csv import read_csv
-from .sqltext import Select, SQLError, item, order_nulls, parse_select, pieces, split, substitute, unique_names
+from .sqltext import Select, SQLError, item, order_nulls, order_outer, parse_select, pieces, split, substitute, unique_names
 
+log = logging.getLogger(__name__)
 FLAGS = {"primary key": "primary", "unique": "unique", "not null": "not_null", "foreign key": "foreign"}
 RESERVED = ("subquery.", "subquerycol.", "filtered.", "joined.", "result.")
 
@@ -247,14 +249,14 @@ class Database:
         except SQLError as e:
             if "isn't taken apart" not in str(e):
                 raise
-            return self.spark.sql(sql)
+            return self.spark.sql(order_outer(sql))
         prepare_select(parts, {c.lower() for df in frames.values() for c in df.columns})
         df = None
         if learned:
             try:
                 df, self.last = learned_sql(self.spark, parts.sql(), frames, **options)
-            except SQLError:
-                pass  # Catalyst plans it, or says what is wrong
+            except SQLError as e:
+                log.warning("the join order isn't learned, Catalyst plans the query: %s", e)
         df = self.spark.sql(parts.sql()) if df is None else df
         if parts.into:
             return self.spark.read.parquet(self.insert_result(parts.into, df).path)

@@ -2,16 +2,18 @@
 
 Every table is split into batches by a hash of its row. An episode takes the left-deep order that
 the search proposes, joins the next batch of the order's first table with what is left of the
-others, and writes the result; the time per share of the table is the reward. The first table's
-batch is then done, for all orders. Results of the episodes are disjoint and together complete
-whatever orders were taken, so their union is exact. After the exploring episodes the best order
-does the rest in one job.
+others, and writes the result; the share of the table done per second is the reward. The first
+table's batch is then done, for all orders. Results of the episodes are disjoint and together
+complete whatever orders were taken, so their union is exact. The first episode warms up and
+teaches nothing. Exploring goes on while the rest would take long; then the best order does the
+rest, a half at a time while that is long, so that a later measurement can still change the order.
 
 Results lie in the shared checkpoint folder, so an executor's loss costs one episode at most.
 """
 
 from __future__ import annotations
 
+import logging
 import tempfile
 import time
 import uuid
@@ -26,6 +28,7 @@ from .graph import QueryGraph, build
 from .uct import OrderSearch, Selection, Weight
 
 BATCH = "__batch"
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -94,16 +97,18 @@ def learned_join(
     graph: QueryGraph,
     needed: dict[str, set[str]],
     batches: int = 16,
-    explore: int = 4,
+    explore: int = 3,
     seed: int = 0,
     selection: Selection = Selection.UCB1,
     weight: Weight = Weight.STATIC,
     forget: bool = True,
+    patience: float = 10.0,
 ) -> tuple[DataFrame, JoinStats]:
     """The join's rows with columns named alias__column, and how it went.
 
-    batches: of each table; explore: episodes before the best order does the rest. Up to two
-    tables are joined as they stand.
+    batches: of each table; explore: episodes that teach, at least, after the one that warms up;
+    patience: the seconds that the rest may take by the best order without more trials, which at
+    most half the batches go into. Up to two tables are joined as they stand.
     """
     stats, aliases = JoinStats(), list(graph.tables)
     began = time.perf_counter()
@@ -121,15 +126,21 @@ def learned_join(
 
     search = OrderSearch(aliases, graph.connected, selection, weight, forget=forget, seed=seed)
     remaining = {a: list(range(batches)) for a in aliases}
-    folder, fastest, parts = scratch(spark), 0.0, []
+    folder, parts = scratch(spark), []
     while all(remaining.values()):
-        exploring = len(stats.episodes) < explore
-        order = search.propose() if exploring else search.best()
+        done, order, ahead = len(stats.episodes), None, 0.0
+        if search.tried:
+            order = search.best()
+            ahead = len(remaining[order[0]]) / batches / search.expected(order)  # seconds
+        exploring = done <= max(1, explore) or (ahead > patience and done < batches // 2)
+        if exploring:
+            order = search.propose()
         table = order[0]
-        take = remaining[table][:1] if exploring else list(remaining[table])
+        left = len(remaining[table])
+        take = remaining[table][: 1 if exploring else (left + 1) // 2 if ahead > patience else left]
         now = {a: df if len(remaining[a]) == batches else df.filter(F.col(BATCH).isin(remaining[a])).alias(a) for a, df in inputs.items()}
         now[table] = inputs[table].filter(F.col(BATCH).isin(take)).alias(table)
-        path = f"{folder}/{len(stats.episodes)}"
+        path = f"{folder}/{done}"
         start = time.perf_counter()
         seen = Observation()
         joined = join_in_order(graph, now, order).select(*out_columns)
@@ -137,12 +148,16 @@ def learned_join(
         seconds = time.perf_counter() - start
         parts.append(spark.read.schema(joined.schema).parquet(path))
         speed = len(take) / batches / max(seconds, 1e-6)
-        fastest = max(fastest, speed)
-        reward = speed / fastest
-        if exploring:
-            search.learn(order, reward)
-        stats.episodes.append(Episode(order, table, take, seconds, seen.get["rows"], reward))
+        if exploring and done:
+            search.learn(order, speed)
+        elif done:
+            search.tried[order].append(speed)
+        stats.episodes.append(Episode(order, table, take, seconds, seen.get["rows"], speed))
+        log.info("episode %d: %s, %d of %d batches of %s in %.2f s", done, " > ".join(order), len(take), batches, table, seconds)
         remaining[table] = remaining[table][len(take) :]
+    fastest = max(e.reward for e in stats.episodes)
+    for e in stats.episodes:
+        e.reward /= fastest
     stats.join_millis = 1000 * sum(e.seconds for e in stats.episodes)
     stats.tree, stats.nodes = search.rows(), search.nodes
     return reduce(DataFrame.unionByName, parts), stats

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from tarnholm.plans.explain import episode_frame, tree_frame
@@ -44,6 +46,33 @@ def test_policies_find_the_better_order(selection, weight):
     assert search.rows()
 
 
+@pytest.mark.parametrize("n", [3, 4, 5, 6])
+def test_the_fastest_order_tried_is_the_best(n):
+    names = [f"t{i}" for i in range(n)]
+    for seed in range(40):
+        search = OrderSearch(names, lambda p: [t for t in names if t not in p], seed=seed)
+        speed = {}
+        for _ in range(8):
+            order = search.propose()
+            speed.setdefault(order, 3.0 + hash_of(order, seed))
+            search.learn(order, speed[order])
+        assert search.best() == max(speed, key=speed.get)
+
+
+def hash_of(order, seed):
+    return int.from_bytes(hashlib.md5(repr((order, seed)).encode()).digest()[:4], "little") / 2**30
+
+
+def test_the_first_episode_teaches_nothing_and_long_rests_go_in_halves(spark, tables):
+    df, stats = learned_sql(spark, SQL, tables, batches=16, explore=2, patience=0.0)
+    assert sorted(map(tuple, df.collect())) == direct(spark, tables, SQL)
+    assert [len(e.batches) for e in stats.episodes[:8]] == [1] * 8 and len(stats.episodes) > 9
+    df, stats = learned_sql(spark, SQL, tables, batches=16, explore=2, patience=1e9)
+    assert len(stats.episodes) == 4
+    taught = stats.episodes[1:3]
+    assert stats.episodes[3].order == max(taught, key=lambda e: e.reward).order and max(e.reward for e in stats.episodes) == 1
+
+
 def test_forgetting_rebuilds_the_tree():
     search = OrderSearch(["a", "b"], lambda p: [t for t in "ab" if t not in p], seed=0)
     for _ in range(10):
