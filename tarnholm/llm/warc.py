@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, hashed_share, partitions, prepare
+from .common import by_shard, columns, hashed_share, partitions, prepare
 
 RUN_ROWS = 100_000
 KEYS = ["urlkey", "captured_at", "page_id", "url", "digest"]
@@ -44,12 +44,18 @@ def url_key(url: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """The index fields of each page. A table without capture times gets times derived from page_id."""
+    """The index fields of each page.
+
+    captured_at is the column of that name, where there is one, as seconds (a timestamp is taken as
+    seconds since 1970); a null time stays null. A table without it gets times derived from page_id.
+    """
     id_ = F.col("page_id").cast("long")
     html = F.coalesce("html", F.lit(""))
-    return columns(pages, "page_id", "url", "html").select(
+    timed = [c for c in pages.columns if c.lower() == "captured_at"]
+    at = F.col(f"`{timed[0]}`") if timed else F.lit(1704067200) + F.pmod(F.coalesce(id_, F.lit(0)) * 7919, F.lit(31536000))
+    return columns(pages, "page_id", "url", "html", *timed[:1]).select(
         url_key(F.col("url")).alias("urlkey"),
-        (F.lit(1704067200) + F.pmod(F.coalesce(id_, F.lit(0)) * 7919, F.lit(31536000))).cast("long").alias("captured_at"),
+        at.cast("long").alias("captured_at"),
         id_.alias("page_id"),
         "url",
         F.md5(html).alias("digest"),
@@ -111,7 +117,7 @@ def _runs(batches: Iterator[pa.RecordBatch], bounds: list[str]) -> Iterator[pa.R
         owner = np.array([bisect_right(bounds, k) for k in table["urlkey"].to_pylist()])
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
         ends = [*cuts[1:], len(owner)]
-        return pa.RecordBatch.from_arrays([pa.array(owner[cuts].astype(np.int32)), pa.array([_packed(table.slice(a, b - a)) for a, b in zip(cuts, ends)], pa.binary())], names=["range", "run"])
+        return pa.RecordBatch.from_arrays([pa.array(owner[cuts].astype(np.int32)), pa.array([_packed(table.slice(a, b - a)) for a, b in zip(cuts, ends)], pa.binary())], names=["shard", "run"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -162,6 +168,7 @@ def _merged(batches: Iterator[pa.RecordBatch], offsets: list[int]) -> Iterator[p
 def capture_index(pages: DataFrame) -> DataFrame:
     """All captures in order of (urlkey, captured_at, page_id, url, digest), nulls first.
 
+    Partitions hold key ranges in order and are sorted, so the rows come in order of position.
     position counts from 0 over the whole index; capture_no from 1 within a URL key; changed
     says whether the digest differs from the capture before it (true for the first). Null html
     counts as empty, a null url has the empty key and a null id keeps its row; repeated rows are
@@ -175,8 +182,9 @@ def capture_index(pages: DataFrame) -> DataFrame:
     bounds = sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
     counts = dict(found.select("urlkey").mapInArrow(partial(_counts, bounds=bounds), "range int, n long").groupBy("range").agg(F.sum("n")).collect())
     offsets = np.concatenate([[0], np.cumsum([counts.get(i, 0) for i in range(len(bounds) + 1)])]).tolist()
-    runs = found.mapInArrow(partial(_runs, bounds=bounds), "range int, run binary")
-    return runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(partial(_merged, offsets=offsets), SCHEMA)
+    runs = found.mapInArrow(partial(_runs, bounds=bounds), "shard int, run binary")
+    # range i goes to partition i, as written: hashed ranges would come out of order
+    return by_shard(runs, len(bounds) + 1).mapInArrow(partial(_merged, offsets=offsets), SCHEMA)
 
 
 SQL = r"""
