@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier sees confirmed toxic texts and a sample of texts whose labels it doesn't look at.
-With the class prior, the risk on the unseen negatives is the unlabelled risk less the share that
+The classifier sees confirmed toxic texts and a sample of all texts, whose labels it doesn't look
+at: labels that aren't positive aren't used at all. The class prior is estimated from these two
+sets, unless it is given. With it, the risk on the unseen negatives is the unlabelled risk less the share that
 positives have in it; where that estimate falls below zero the step goes back up instead, which
 is the non-negative correction. The model is linear over the words, and word beginnings, that are
 over-represented in the positives, with weights that aren't negative, and is fitted in numpy.
@@ -114,37 +115,61 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "p", "u")] + [pa.array(found, pa.binary())], names=["id", "p", "u", "found"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, prior: float | None = None, most: int = 3000) -> Model:
-    """A model fitted to a bounded sample of labelled rows, whatever the size of the tables.
+def estimate_prior(xp: np.ndarray, xu: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows, from 0 and 1 for the words each row has.
+
+    For any set of texts, the share of the unlabelled in it is at least the prior times the share of
+    the positives in it, so the least ratio of the two bounds the prior; the sets are the texts with
+    one of the k first words, the most over-represented first. An error of the shares is allowed for.
+    """
+    n, m, least = len(xp), len(xu), 0.5
+    anyp, anyu = np.zeros(n, bool), np.zeros(m, bool)
+    for k in range(xp.shape[1]):
+        anyp |= xp[:, k] > 0
+        anyu |= xu[:, k] > 0
+        p, u = anyp.mean(), anyu.mean()
+        if anyp.sum() >= max(3, 0.1 * n):
+            least = min(least, (u + np.sqrt(u * (1 - u) / m) + 1 / m) / p)
+    return float(max(least, 1 / (m + 1)))
 
-    sample: about how many confirmed toxic rows at most, and rows taken as unlabelled, chosen by a
-    hash of their ids. prior: the share of toxic texts; the share among all labelled rows
-    if not given. most: how many features. Without positives the model rejects nothing.
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, prior: float | None = None, most: int = 3000) -> Model:
+    """A model fitted to bounded samples of confirmed toxic rows and of all rows, whatever the size of the tables.
+
+    sample: about how many of each at most: toxic rows by a hash of their ids, unlabelled ones by
+    a hash of id and text; the unlabelled ones are of all documents, and no label of theirs is
+    used. prior: the share of toxic texts among all documents; estimated if not given. most: how
+    many features, each in three toxic texts or more. An id with a toxic and another label is
+    toxic; null ids and null labels say nothing; of documents that share a toxic id all are
+    positives. Without positives, or documents, the model rejects nothing.
     """
     prepare(docs.sparkSession)
     known = columns(labels, "doc_id", "toxic").filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
-    total, toxic = known.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
-    if not toxic:
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -1.0)
-    prior = toxic / total if prior is None else prior
-    positives = hashed_share(known.filter("toxic"), toxic, sample, "id", salt=1)
-    unlabelled = hashed_share(known, total, sample, "id", salt=2)
-    chosen = positives.select("id", F.lit(True).alias("p")).unionByName(unlabelled.select("id", F.lit(False).alias("p")))
-    chosen = chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u"))  # both: p and not u
-    chosen = chosen.select("id", "p", (~F.col("u")).alias("u"))
+    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic > 0").select("id").distinct()
+    nothing = Model(np.zeros(0, np.uint32), np.zeros(0), -1.0)
+    toxic, total = known.count(), docs.count()
+    if not toxic or not total:
+        return nothing
+    # about ``sample`` ids: the broadcast is bounded by the parameter
+    positives = hashed_share(known, toxic, sample, "id", salt=1).withColumn("p", F.lit(True))
     texts = columns(docs, "doc_id", "text").filter("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    # about 2 * sample ids: the broadcast is bounded by the parameter
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "p", "u", "text").mapInArrow(_sets, "id long, p boolean, u boolean, found binary").collect()
-    rows.sort(key=lambda r: (r.id, bytes(r.found)))
+    share = int((1 << 31) * min(1.0, sample / total))
+    drawn = F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(1 << 31)) < F.lit(share)
+    rows = texts.join(F.broadcast(positives), "id", "left").select("id", F.coalesce("p", F.lit(False)).alias("p"), drawn.alias("u"), "text")
+    rows = rows.filter("p OR u").mapInArrow(_sets, "id long, p boolean, u boolean, found binary").collect()
+    rows.sort(key=lambda r: (r.id is not None, r.id or 0, bytes(r.found)))
     kinds = [[np.frombuffer(r.found, np.uint32) for r in rows if r[kind]] for kind in ("p", "u")]
-    nothing = Model(np.zeros(0, np.uint32), np.zeros(0), -1.0)
     if not all(kinds):
         return nothing
-    vocabulary = np.sort(screen(*kinds, most))
-    if not len(vocabulary):
+    ranked = screen(*kinds, most)
+    if not len(ranked):
         return nothing
-    return Model(vocabulary, *fit_nnpu(*(presence(k, vocabulary) for k in kinds), prior))
+    vocabulary = np.sort(ranked)
+    xp, xu = (presence(k, vocabulary) for k in kinds)
+    if prior is None:
+        at = np.searchsorted(vocabulary, ranked)
+        prior = estimate_prior(xp[:, at], xu[:, at])
+    return Model(vocabulary, *fit_nnpu(xp, xu, prior))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -170,7 +195,10 @@ def _keep(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows that aren't toxic, with all their columns."""
+    """The rows that aren't toxic, with all their columns.
+
+    Null and empty texts stay; rows with null ids and repeated rows are each decided by their text.
+    """
     prepare(docs.sparkSession)
     return docs.mapInArrow(partial(_keep, model=model), docs.schema)
 
