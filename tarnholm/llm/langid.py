@@ -113,11 +113,12 @@ class ByteNet:
         return total / np.maximum(number, 1)[:, None], number
 
 
-def train(docs: DataFrame, sample: int = 3000, seed: int = 0) -> ByteNet | None:
+def train(docs: DataFrame, sample: int = 3000, seed: int = 0, each: int = 8) -> ByteNet | None:
     """A network fitted to a bounded sample of the labelled texts; None if there are none.
 
-    sample: about how many texts, chosen by a hash of their ids, whatever the size of the table;
-    of a language that would have under LEAST of these, about LEAST, or all it has.
+    sample: about how many texts, chosen by a hash of id and text, whatever the size of the table;
+    of a language that would have under LEAST of these, about LEAST, or all it has. each: how many
+    windows of a sampled text at most, drawn from all of it (identify reads all windows).
     """
     spark = docs.sparkSession
     labelled = columns(docs, "doc_id", "text", "lang").filter("lang IS NOT NULL AND text <> ''")
@@ -126,16 +127,16 @@ def train(docs: DataFrame, sample: int = 3000, seed: int = 0) -> ByteNet | None:
     if total > sample:
         share = [(r.lang, int((1 << 31) * min(1.0, max(sample / total, LEAST / r["count"])))) for r in counts]
         limits = F.broadcast(spark.createDataFrame(share, "lang string, _limit long"))
-        labelled = labelled.join(limits, "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(0)), F.lit(1 << 31)) < F.col("_limit"))
+        labelled = labelled.join(limits, "lang").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) < F.col("_limit"))
     rows = labelled.select("doc_id", "lang", "text").collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (r.doc_id or 0, r.lang, r.text))
+    rows.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.lang, r.text))
     classes = sorted({r.lang for r in rows})
     x, owner = windows(*raw(pa.array([r.text for r in rows]), lower=False))
     # as many windows of each text at most, drawn from all of it, so that no text dominates
     order = np.lexsort((np.random.default_rng(seed).random(len(owner)), owner))
-    chosen = np.sort(order[np.arange(len(owner)) - np.searchsorted(owner, owner) < 8])
+    chosen = np.sort(order[np.arange(len(owner)) - np.searchsorted(owner, owner) < each])
     x, owner = x[chosen], owner[chosen]
     y = np.array([classes.index(r.lang) for r in rows])[owner]
     return ByteNet(classes, seed).fit(x, y, seed=seed)
