@@ -77,6 +77,15 @@ def test_capture_index_against_sql_with_repeats_nulls_and_ties(spark):
     assert warc.capture_index(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_capture_times_of_the_table_and_order_of_delivery(spark):
+    rows = [(i, f"http://h{i % 11}.net/{i % 3}", f"body {i % 5}", None if i % 13 == 0 else (i * 7919) % 1009) for i in range(600)]
+    got = warc.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string, captured_at int")).collect()
+    assert [r.position for r in got] == list(range(600))
+    assert {r.page_id: r.captured_at for r in got} == {r[0]: r[3] for r in rows}
+    key = lambda r: (r.urlkey, r.captured_at is not None, r.captured_at or 0, r.page_id)
+    assert got == sorted(got, key=key)
+
+
 @pytest.mark.parametrize("k", [0, 1, 2, 3, 5, 8, 13])
 def test_loser_tree_merges(k):
     rng = np.random.default_rng(k)
@@ -152,6 +161,14 @@ def test_a_rare_language_is_in_the_sample_of_a_large_table(spark):
     assert net.classes == ["aa", "yy", "zz"]
 
 
+def test_languages_of_rows_without_ids(spark):
+    rng = np.random.default_rng(9)
+    words = {"aa": ["abba", "kala"], "bb": ["zorf", "quix"]}
+    rows = [(None, " ".join(rng.choice(words[x], 20)) + f" {i}", x) for i in range(300) for x in words]
+    net = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=100)
+    assert net is not None and net.classes == ["aa", "bb"]
+
+
 def test_tables_give_what_the_filters_give():
     net = langid.ByteNet(["a", "b"], seed=3)
     x = np.random.default_rng(0).integers(0, 256, (5, langid.WINDOW)).astype(np.uint8)
@@ -192,6 +209,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == docs_of(spark, []).columns and kept.count() == len(rows[600:]) + len(AWKWARD) - sum(got.values())
 
 
+def test_toxicity_from_positives_alone(spark):
+    rng = np.random.default_rng(3)
+    rows, labels = toxic_corpus(rng, 1500)
+    truth = {i: bool(t) for i, _, t in labels}
+    only = spark.createDataFrame([x for x in labels[:900] if x[2]], "doc_id long, quality int, toxic int")
+    everything = docs_of(spark, rows + [(None, rows[0][1])])
+    got = {r.doc_id: r.toxic for r in toxicity.classify(everything, toxicity.train(everything, only)).collect()}
+    assert sum(got[i] for i in truth if truth[i]) >= 0.9 * sum(truth.values())
+    assert sum(got[i] for i in truth if not truth[i]) <= 0.02 * len(truth)
+
+
+def test_the_prior_is_bounded_by_the_strongest_words():
+    rng = np.random.default_rng(8)
+    for prior in (0.02, 0.1, 0.3):
+        toxic = rng.random(4000) < prior
+        xu = (rng.random((4000, 6)) < np.where(toxic[:, None], 0.5, 0.0)).astype(np.float32)
+        xp = (rng.random((1000, 6)) < 0.5).astype(np.float32)
+        assert abs(toxicity.estimate_prior(xp, xu) - prior) < 0.15 * prior + 0.005
+
+
 def test_without_positives_or_rows_nothing_is_toxic(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs_of(spark, [(1, "a b c")]), labels).collect()[0].toxic is False
