@@ -578,6 +578,50 @@ def test_passages_down_to_the_identity_are_found(spark, every):
     assert got == {(2 * k + 1, 2 * k) for k in range(60)}
 
 
+def test_a_passage_is_found_whose_parts_are_elsewhere_in_first_and_previous(spark):
+    rng = np.random.default_rng(25)
+    p = sentence(rng, 70, 10**6).split(" ")
+    a, b = p[:35], p[35:]
+    around = lambda t: " ".join([sentence(rng, 50, 10**6), *t, sentence(rng, 50, 10**6)])
+    rows = [(1, around(a)), (2, around(b)), (3, around(p)), (4, around(a)), (5, around(b)), (6, around(p))]
+    got = substring.passages(docs_of(spark, rows)).collect()
+    assert [(r.doc_id, r.start, r.end, r.source_id, r.source_start, r.identity) for r in got] == [(6, 50, 120, 3, 50, 1.0)]
+    # many documents with either half before and behind, and edits in the one that has it whole
+    q = [f"edit{i}" if i % 8 == 7 else w for i, w in enumerate(p)]
+    rows = [(k, around((a, b)[k % 2])) for k in range(60)] + [(60, around(q))] + [(k, around((a, b)[k % 2])) for k in range(61, 120)] + [(120, around(p))]
+    got = [r for r in substring.passages(docs_of(spark, rows)).collect() if r.end - r.start >= 60]
+    assert [(r.doc_id, r.source_id) for r in got] == [(120, 60)] and (got[0].start, got[0].end) == (50, 120)
+
+
+def test_matches_are_those_of_brute_force(monkeypatch):
+    rng = np.random.default_rng(26)
+    monkeypatch.setattr(substring, "BLOCK", 50)
+    texts = [" ".join("abc"[i] for i in rng.integers(0, 3, n)) for n in (40, 60, 30, 50)] + ["a " * 70, "b a " * 30, "a " * 45]
+    w = Words(pa.array(texts))
+    key, doc, pos = substring.seeds(w)
+    d, s, x, y = (np.concatenate(c) for c in zip(*((d, s, ~x if last else x, y) for word, last in zip(substring.beside(w, doc, pos), (False, True)) for d, s, x, y in substring.links(key, doc.astype(np.int64), pos, word))))
+    monkeypatch.setattr(substring, "WINDOW", -substring.SEED)  # no two matches are joined
+    got = set(zip(*(c.tolist() for c in substring.fragments(d, s, x, y)[:5])))
+    words, want = [t.split() for t in texts], set()
+    for i, t in enumerate(words):
+        for j, u in enumerate(words[:i]):
+            for p in range(len(t)):
+                for q in range(len(u)):
+                    if t[p] == u[q] and not (p and q and t[p - 1] == u[q - 1]):
+                        n = next((k for k, (v, z) in enumerate(zip(t[p:], u[q:])) if v != z), min(len(t) - p, len(u) - q))
+                        if n >= substring.SEED:
+                            want.add((i, j, p, q, n))
+    assert got == want
+
+
+def test_an_exact_match_is_found_whatever_stands_behind(spark):
+    rng = np.random.default_rng(27)
+    p, more = (sentence(rng, n, 10**6).split(" ") for n in (45, 39))
+    half = [f"edit{i}" if i % 2 == 0 and i < 38 else w for i, w in enumerate(more)]  # goes on with 20 words of 39
+    rows = [(1, " ".join(p + more)), (2, " ".join(p + half))]
+    assert [(r.doc_id, r.source_id) for r in substring.passages(docs_of(spark, rows)).collect() if r.start == 0 and r.end >= 45] == [(2, 1)]
+
+
 def brute_chain(frags):
     order = sorted(range(len(frags)), key=lambda i: frags[i])
     score = {}
