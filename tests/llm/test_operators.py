@@ -614,6 +614,43 @@ def test_matches_are_those_of_brute_force(monkeypatch):
     assert got == want
 
 
+def test_a_match_of_one_seed_is_sent_once():
+    rng = np.random.default_rng(28)
+    texts = [" ".join("abcd"[i] for i in rng.integers(0, 4, n)) for n in (60, 80, 50)] + ["a " * 50, "x y z", "x y z"]
+    w = Words(pa.array(texts))
+    key, doc, pos = substring.seeds(w)
+    doc, (before, after) = doc.astype(np.int64), substring.beside(w, doc, pos)
+    want = {(d, s, ~x if last else x, y) for word, last in ((before, False), (after, True)) for c in substring.links(key, doc, pos, word) for d, s, x, y in zip(*(v.tolist() for v in c))}
+    sent = substring.scatter(np.zeros(len(key), np.int64), 1, key=(key >> np.uint64(32)).astype(np.uint32), doc=doc, pos=pos, before=before, after=after)
+    for _, got in substring.gather(substring._links(iter([sent]), 1), np.int64, np.int64, np.int32, np.int32):
+        ends = list(zip(*(c.tolist() for c in substring.both_ends(*got))))
+        matches = sum(x >= 0 for _, _, x, _ in want)
+        assert set(ends) == want and len(ends) == len(want) and matches <= len(got[0]) < len(want) == 2 * matches
+
+
+def test_pairs_whose_seeds_lie_on_far_diagonals_are_not_chained(monkeypatch):
+    rng = np.random.default_rng(29)
+    line = [sentence(rng, 12, 10**6) for _ in range(2)]
+    gap = lambda n: sentence(rng, n, 10**6)
+    apart = [f"{line[0]} {gap(90)} {line[1]}", f"{line[1]} {gap(5)} {line[0]} {gap(50)}"]  # ten seeds on either of two diagonals
+    near = [f"{gap(50)} {line[0]} {gap(5)} {line[1]} {gap(20)}", f"{line[0]} {gap(7)} {line[1]} {gap(90)}"]
+    called, plain = [], substring.chain
+    monkeypatch.setattr(substring, "chain", lambda f: called.append(f) or plain(f))
+    for texts, n in ((apart, 0), (near, 1)):
+        w = Words(pa.array(texts))
+        key, doc, pos = substring.seeds(w)
+        d, s, x, y = (np.concatenate(c) for c in zip(*((d, s, ~x if last else x, y) for word, last in zip(substring.beside(w, doc, pos), (False, True)) for d, s, x, y in substring.links(key, doc.astype(np.int64), pos, word))))
+        called.clear()
+        assert len(list(substring.chains(d, s, x, y))) == n and len(called) == n
+    # a passage whose diagonals lie as far apart as the identity allows isn't left out
+    p = gap(80).split(" ")
+    q = [v for i, u in enumerate(p) for v in ([u, f"more{i}"] if i % 5 == 2 else [u])]
+    w = Words(pa.array([" ".join(p), " ".join(q)]))
+    key, doc, pos = substring.seeds(w)
+    d, s, x, y = (np.concatenate(c) for c in zip(*((d, s, ~x if last else x, y) for word, last in zip(substring.beside(w, doc, pos), (False, True)) for d, s, x, y in substring.links(key, doc.astype(np.int64), pos, word))))
+    assert list(substring.chains(d, s, x, y))
+
+
 def test_an_exact_match_is_found_whatever_stands_behind(spark):
     rng = np.random.default_rng(27)
     p, more = (sentence(rng, n, 10**6).split(" ") for n in (45, 39))
