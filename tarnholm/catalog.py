@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import types
+from .plans.graph import build, from_items
 from .plans.learned import JoinStats, learned_sql
+from .plans.sizes import measured
 from .sources.csv import read_csv
 from .sqltext import Select, SQLError, item, order_nulls, order_outer, parse_select, pieces, split, substitute, unique_names
 
@@ -252,7 +254,9 @@ class Database:
             return self.spark.sql(order_outer(sql))
         prepare_select(parts, {c.lower() for df in frames.values() for c in df.columns})
         df = None
-        if learned:
+        if not learned:
+            parts.from_ = small_steps(self.spark, parts, frames)
+        else:
             try:
                 df, self.last = learned_sql(self.spark, parts.sql(), frames, **options)
             except SQLError as e:
@@ -263,6 +267,26 @@ class Database:
         return df
 
 
+def small_steps(spark: SparkSession, s: Select, tables: dict[str, DataFrame]) -> str:
+    """The FROM of a comma join: as written, unless a step of it is estimated to have more rows than all tables together.
+
+    Then it is the order with the smallest steps. A join of another form stays as it is, and so
+    does a SELECT of all columns, whose order is that of FROM.
+    """
+    try:
+        items = from_items(s.from_) if s.from_ else []
+        if len(items) < 3 or any(e == "*" for e, _ in s.items):
+            return s.from_
+        _, graph, _ = build(spark, s.sql(), {k.lower(): v for k, v in tables.items()})
+    except SQLError:
+        return s.from_
+    sizes = measured(graph)
+    if sizes.widest(tuple(graph.tables)) <= sizes.limit:
+        return s.from_
+    names = {alias: name for name, alias in items}
+    return ", ".join(f"{names[a]} AS `{a}`" for a in sizes.order())
+
+
 def prepare_select(s: Select, columns: set[str]) -> None:
     """Rewrites what Spark's dialect lacks, in place: names for all columns, aliases in WHERE, null order."""
     named = {a.lower(): e for e, a in s.items if a and a.lower() not in columns}
