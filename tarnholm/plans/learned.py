@@ -4,8 +4,9 @@ Every table is split into batches by a hash of its row. An episode takes the lef
 the search proposes, joins the next batch of the order's first table with what is left of the
 others, and writes the result; the share of the table done per second is the reward. The first
 table's batch is then done, for all orders. Results of the episodes are disjoint and together
-complete whatever orders were taken, so their union is exact. The first episode warms up and
-teaches nothing. Exploring goes on while the rest would take long; then the best order does the
+complete whatever orders were taken, so their union is exact. Orders with a step that is estimated
+to have more rows than all tables together aren't tried (plans.sizes). The first episode warms up
+and teaches nothing. Exploring goes on while the rest would take long; then the best order does the
 rest, a half at a time while that is long, so that a later measurement can still change the order.
 
 Results lie in the shared checkpoint folder, so an executor's loss costs one episode at most.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sqltext import order_nulls
 from .graph import QueryGraph, build
+from .sizes import measured
 from .uct import OrderSearch, Selection, Weight
 
 BATCH = "__batch"
@@ -124,7 +126,7 @@ def learned_join(
     if len(aliases) <= 2:
         return join_in_order(graph, inputs, tuple(aliases)).select(*out_columns), stats
 
-    search = OrderSearch(aliases, graph.connected, selection, weight, forget=forget, seed=seed)
+    search = OrderSearch(aliases, measured(graph).allowed, selection, weight, forget=forget, seed=seed)
     remaining = {a: list(range(batches)) for a in aliases}
     folder, parts = scratch(spark), []
     while all(remaining.values()):

@@ -3,6 +3,9 @@
 import pytest
 
 from tarnholm.catalog import Database
+from tarnholm.plans.graph import build
+from tarnholm.plans.learned import learned_sql
+from tarnholm.plans.sizes import measured
 
 # suppliers and customers meet in one of three nations: 400 * 3000 / 3 pairs, of 33,403 rows in all
 SQL = """SELECT n.name, count(*) AS n, sum(li.v) AS v FROM n, s, c, o, li
@@ -60,3 +63,13 @@ def test_a_harmless_order_stays_as_written(spark, db, monkeypatch):
     db.select("SELECT c.cust, li.v FROM li, o, c WHERE li.ord = o.ord AND o.cust = c.cust")
     db.select("SELECT * FROM n, s, c WHERE s.nation = n.nation AND c.nation = s.nation AND c.cust < 3")
     assert "FROM li, o, c" in seen[0] and "FROM n, s, c" in seen[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_trial_has_a_step_over_all_inputs(spark, db, want, seed):
+    df, stats = learned_sql(spark, SQL, db.frames(), seed=seed, batches=8, explore=5, patience=1e9)
+    assert sorted(map(tuple, df.collect())) == want
+    _, graph, _ = build(spark, SQL, db.frames())
+    sizes = measured(graph)
+    assert sizes.size(frozenset("sc")) > sizes.limit
+    assert all(sizes.widest(e.order) <= sizes.limit for e in stats.episodes)
