@@ -1,13 +1,15 @@
 """Joins whose order is learned while they run.
 
-Every table is split into batches by a hash of its row. An episode takes the left-deep order that
-the search proposes, joins the next batch of the order's first table with what is left of the
-others, and writes the result; the share of the table done per second is the reward. The first
-table's batch is then done, for all orders. Results of the episodes are disjoint and together
-complete whatever orders were taken, so their union is exact. Orders with a step that is estimated
-to have more rows than all tables together aren't tried (plans.sizes). The first episode warms up
-and teaches nothing. Exploring goes on while the rest would take long; then the best order does the
-rest, a half at a time while that is long, so that a later measurement can still change the order.
+The largest table is split into batches, by a hash of its join key, and so are the tables that it
+meets in that key; where it has no key with many values, by a hash of its row and alone. An episode
+takes the left-deep order that the search proposes, joins the next batch of those tables with the
+others, and writes the result; the share of the batches done per second is the reward. Results of
+the episodes are disjoint and together complete whatever orders were taken, so their union is
+exact. What is split moves once in all episodes together, the smaller tables once in each. Orders
+with a step that is estimated to have more rows than all tables together aren't tried (plans.sizes).
+The first episode warms up and teaches nothing. Exploring goes on while the rest would take long;
+then the best order does the rest, a half at a time while that is long, so that a later measurement
+can still change the order.
 
 Results lie in the shared checkpoint folder, so an executor's loss costs one episode at most.
 """
@@ -23,13 +25,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sqltext import order_nulls
 from .graph import QueryGraph, build
-from .sizes import measured
+from .sizes import Sizes, measured
 from .uct import OrderSearch, Selection, Weight
 
 BATCH = "__batch"
+KEYS_PER_BATCH = 100  # at least, for batches by a key
 log = logging.getLogger(__name__)
 
 
@@ -94,6 +98,24 @@ def join_in_order(graph: QueryGraph, inputs: dict[str, DataFrame], order: tuple[
     return df
 
 
+def batch_keys(graph: QueryGraph, sizes: Sizes, batches: int) -> tuple[str, dict[str, str]]:
+    """The largest table, and the column that batches go by: of it, and of the tables that it meets in it.
+
+    Of its keys with many values it is the one that most other rows meet. Equal keys have equal
+    hashes only within a type, and not for floating numbers. Without such a key there is no column.
+    """
+    largest = max(graph.tables, key=lambda a: sizes.rows[a])
+    kind = lambda a, c: next(f.dataType for f in graph.tables[a].schema if f.name.lower() == c)
+    plain = (T.IntegralType, T.StringType, T.DateType, T.TimestampType, T.DecimalType)
+    best: tuple[int, str, dict[str, str]] = (0, largest, {})
+    for column in sorted({c for pair in sizes.equal for a, c in pair if a == largest}):
+        mates = {a: c for pair in sizes.equal if (largest, column) in pair for a, c in pair if a != largest and kind(a, c) == kind(largest, column)}
+        met = sum(sizes.rows[a] for a in mates)
+        if isinstance(kind(largest, column), plain) and sizes.distinct[largest, column] >= KEYS_PER_BATCH * batches and met > best[0]:
+            best = met, largest, {largest: column} | mates
+    return best[1:]
+
+
 def learned_join(
     spark: SparkSession,
     graph: QueryGraph,
@@ -108,40 +130,42 @@ def learned_join(
 ) -> tuple[DataFrame, JoinStats]:
     """The join's rows with columns named alias__column, and how it went.
 
-    batches: of each table; explore: episodes that teach, at least, after the one that warms up;
+    batches: of the largest table; explore: episodes that teach, at least, after the one that warms up;
     patience: the seconds that the rest may take by the best order without more trials, which at
     most half the batches go into. Up to two tables are joined as they stand.
     """
     stats, aliases = JoinStats(), list(graph.tables)
     began = time.perf_counter()
-    inputs = {}
-    for a in aliases:
-        df = graph.filtered(a, needed[a])
-        inputs[a] = df.withColumn(BATCH, F.pmod(F.xxhash64(*df.columns) if df.columns else F.xxhash64(F.lit(0)), F.lit(batches))).alias(a)
+    inputs = {a: graph.filtered(a, needed[a]) for a in aliases}
     if graph.constant:
         keep = reduce(lambda a, b: a & b, map(F.expr, graph.constant))
         inputs = {a: df.filter(keep).alias(a) for a, df in inputs.items()}
-    out_columns = [F.col(f"{a}.`{c}`").alias(f"{a}__{c.lower()}") for a in aliases for c in inputs[a].columns if c != BATCH]
-    stats.pre_millis = 1000 * (time.perf_counter() - began)
+    wanted = graph.output if any(graph.output.values()) else needed
+    out_columns = [F.col(f"{a}.`{c}`").alias(f"{a}__{c.lower()}") for a in aliases for c in inputs[a].columns if c.lower() in wanted[a]]
     if len(aliases) <= 2:
+        stats.pre_millis = 1000 * (time.perf_counter() - began)
         return join_in_order(graph, inputs, tuple(aliases)).select(*out_columns), stats
+    sizes = measured(graph)
+    largest, keys = batch_keys(graph, sizes, batches)
+    for a in keys or [largest]:
+        df, by = inputs[a], [keys[a]] if keys else inputs[a].columns
+        inputs[a] = df.withColumn(BATCH, F.pmod(F.xxhash64(*(F.col(f"{a}.`{c}`") for c in by)) if by else F.xxhash64(F.lit(0)), F.lit(batches))).alias(a)
+    stats.pre_millis = 1000 * (time.perf_counter() - began)
 
-    search = OrderSearch(aliases, measured(graph).allowed, selection, weight, forget=forget, seed=seed)
-    remaining = {a: list(range(batches)) for a in aliases}
+    search = OrderSearch(aliases, sizes.allowed, selection, weight, forget=forget, seed=seed)
+    remaining = list(range(batches))
     folder, parts = scratch(spark), []
-    while all(remaining.values()):
+    while remaining:
         done, order, ahead = len(stats.episodes), None, 0.0
         if search.tried:
             order = search.best()
-            ahead = len(remaining[order[0]]) / batches / search.expected(order)  # seconds
+            ahead = len(remaining) / batches / search.expected(order)  # seconds
         exploring = done <= max(1, explore) or (ahead > patience and done < batches // 2)
         if exploring:
             order = search.propose()
-        table = order[0]
-        left = len(remaining[table])
-        take = remaining[table][: 1 if exploring else (left + 1) // 2 if ahead > patience else left]
-        now = {a: df if len(remaining[a]) == batches else df.filter(F.col(BATCH).isin(remaining[a])).alias(a) for a, df in inputs.items()}
-        now[table] = inputs[table].filter(F.col(BATCH).isin(take)).alias(table)
+        left = len(remaining)
+        take = remaining[: 1 if exploring else (left + 1) // 2 if ahead > patience else left]
+        now = inputs | {a: inputs[a].filter(F.col(BATCH).isin(take)).alias(a) for a in keys or [largest]}
         path = f"{folder}/{done}"
         start = time.perf_counter()
         seen = Observation()
@@ -154,9 +178,9 @@ def learned_join(
             search.learn(order, speed)
         elif done:
             search.tried[order].append(speed)
-        stats.episodes.append(Episode(order, table, take, seconds, seen.get["rows"], speed))
-        log.info("episode %d: %s, %d of %d batches of %s in %.2f s", done, " > ".join(order), len(take), batches, table, seconds)
-        remaining[table] = remaining[table][len(take) :]
+        stats.episodes.append(Episode(order, largest, take, seconds, seen.get["rows"], speed))
+        log.info("episode %d: %s, %d of %d batches of %s in %.2f s", done, " > ".join(order), len(take), batches, largest, seconds)
+        remaining = remaining[len(take) :]
     fastest = max(e.reward for e in stats.episodes)
     for e in stats.episodes:
         e.reward /= fastest

@@ -4,7 +4,7 @@ import pytest
 
 from tarnholm.catalog import Database
 from tarnholm.plans.graph import build
-from tarnholm.plans.learned import learned_sql
+from tarnholm.plans.learned import batch_keys, learned_sql
 from tarnholm.plans.sizes import measured
 
 # suppliers and customers meet in one of three nations: 400 * 3000 / 3 pairs, of 33,403 rows in all
@@ -73,3 +73,24 @@ def test_no_trial_has_a_step_over_all_inputs(spark, db, want, seed):
     sizes = measured(graph)
     assert sizes.size(frozenset("sc")) > sizes.limit
     assert all(sizes.widest(e.order) <= sizes.limit for e in stats.episodes)
+
+
+def test_what_is_split_is_done_once_by_all_episodes(spark, db):
+    _, graph, _ = build(spark, SQL, db.frames())
+    assert batch_keys(graph, measured(graph), 16) == ("li", {"li": "ord", "o": "ord"})
+    assert batch_keys(graph, measured(graph), 1000) == ("li", {})  # too few keys
+    _, stats = learned_sql(spark, SQL, db.frames(), batches=8)
+    assert {e.table for e in stats.episodes} == {"li"}
+    assert sorted(b for e in stats.episodes for b in e.batches) == list(range(8))
+
+
+def test_a_grouped_name_that_is_also_an_alias(spark, db):
+    sql = "SELECT c.nation AS supp, count(*) AS n FROM li, o, c WHERE li.ord = o.ord AND o.cust = c.cust AND li.supp < 3 GROUP BY c.nation"
+    db.views()
+    assert sorted(map(tuple, learned_sql(spark, sql, db.frames())[0].collect())) == sorted(map(tuple, spark.sql(sql).collect()))
+
+
+def test_a_count_alone_needs_no_columns(spark, db):
+    sql = "SELECT count(*) AS n FROM li, o, c WHERE li.ord = o.ord AND o.cust = c.cust"
+    db.views()
+    assert learned_sql(spark, sql, db.frames())[0].first()[0] == spark.sql(sql).first()[0]
