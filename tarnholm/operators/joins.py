@@ -1,10 +1,18 @@
-"""Joins that a plain condition would leave to nested loops."""
+"""Joins that a plain condition would leave to nested loops, or to a few tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+ROWS = 1 << 19  # that one task of a sized shuffle gets
+
+
+def sized(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitions by keys, of about ROWS rows each: their number grows with the table, and so no task does."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+    return df.repartition(tasks, *keys)
+
 
 def band(left: DataFrame, right: DataFrame, time: str, seconds: int, keys: list[str]) -> DataFrame:
     """Pairs with equal keys and 0 < right.time - left.time <= seconds, as l.* and r.*.
