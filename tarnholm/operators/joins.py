@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PAIRS = 1 << 26  # that one task of a spread join is meant to make
+SALTS = 4  # keys with salts that a task gets of the hottest key, or more of others
 ROWS = 1 << 19  # that one task of a sized shuffle gets
 
 
@@ -14,6 +18,28 @@ def sized(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(tasks, *keys)
 
 
+def spread(left: DataFrame, right: DataFrame, keys: list[str], condition: Column | None = None) -> DataFrame:
+    """Equi join, as l.* and r.*, whose keys may be few and have many pairs each; nulls don't meet.
+
+    A plain join makes all pairs of a key in one task, and of a small table all in one or two. Here
+    each left row gets one of some salts and each right row all of them, as many as the key with
+    the most pairs needs, so that a task makes about PAIRS pairs whatever the tables' size. The
+    rows that travel are the left ones and the right ones times the salts; only the pairs of a
+    right key and salt at a time are held.
+    """
+    count = lambda df, n: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
+    pairs = F.col("__l").cast("double") * F.col("__r")
+    most, total = count(left, "__l").join(count(right, "__r"), keys).agg(F.max(pairs), F.sum(pairs)).first()
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((total or 0) / PAIRS) + 1)
+    salts = int((most or 0) * SALTS * tasks / max(total or 0, 1)) + 1
+    columns = left.columns
+    l = left.withColumn("__salt", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
+    r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    l, r = (df.repartition(tasks, *keys, "__salt").alias(name) for df, name in ((l, "l"), (r, "r")))
+    equal = reduce(lambda a, b: a & b, (F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in [*keys, "__salt"]))
+    return l.join(r.hint("merge"), equal if condition is None else equal & condition)
+
+
 def band(left: DataFrame, right: DataFrame, time: str, seconds: int, keys: list[str]) -> DataFrame:
     """Pairs with equal keys and 0 < right.time - left.time <= seconds, as l.* and r.*.
 

@@ -181,9 +181,10 @@ def join_multi_key(spark, d):
 
 @query("SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a, supplier b WHERE a.s_acctbal < b.s_acctbal AND a.s_nationkey + b.s_nationkey < 10")
 def join_theta(spark, d):
-    s = read(spark, d, "supplier")
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.s_acctbal") < F.col("b.s_acctbal")) & (F.col("a.s_nationkey") + F.col("b.s_nationkey") < 10)).select(F.col("a.s_suppkey").alias("x"), F.col("b.s_suppkey").alias("y"))
+    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    # each row goes to all nations that it may meet, so that this is an equi join on the nation
+    b = s.join(s.select(F.col("s_nationkey").alias("met")).distinct(), F.col("met") + F.col("s_nationkey") < 10).select("s_suppkey", F.col("met").alias("s_nationkey"), "s_acctbal")
+    return joins.spread(s, b, ["s_nationkey"], F.col("l.s_acctbal") < F.col("r.s_acctbal")).select(F.col("l.s_suppkey").alias("x"), F.col("r.s_suppkey").alias("y"))
 
 
 @query("SELECT e.event_id, f.event_id AS later FROM events e, events f WHERE e.user_id = f.user_id AND f.ts > e.ts AND f.ts <= e.ts + INTERVAL 6 HOUR AND e.event_type = 'error'")
