@@ -259,7 +259,7 @@ def join_null_keys(spark, d):
 def join_null_keys_all(spark, d):
     a = read(spark, d, "customer").select(F.col("c_custkey").alias("x"), F.when(F.col("c_nationkey") % 3 != 0, F.col("c_nationkey")).alias("k"))
     b = read(spark, d, "supplier").select(F.col("s_suppkey").alias("y"), F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey")).alias("k"))
-    return a.join(b, "k").select("x", "y")
+    return joins.spread(a, b, ["k"]).select("l.x", "r.y")
 
 
 # aggregation

@@ -21,7 +21,7 @@ def test_the_tasks_of_a_multi_key_join_grow_in_number_with_the_table(spark, sf,
     assert len(parts) >= 10 and max(parts) < 1000
 
 
-@pytest.mark.parametrize("name", ["join_theta"])
+@pytest.mark.parametrize("name", ["join_theta", "join_null_keys_all"])
 def test_pairs_of_few_keys_are_made_in_many_tasks(spark, name, monkeypatch):
     sf = "/root/testdata/sf0.01"
     df = QUERIES[name](spark, sf)
